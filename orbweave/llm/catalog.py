@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, packing, warc
 
 
 def queries() -> dict:
-    return {"op1_mix": mixing.op1_mix}
+    return {"op1_mix": mixing.op1_mix, "op2_pack": packing.op2_pack, "op3_warc": warc.op3_warc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": mixing.ORACLE}
+    return {"op1_mix": mixing.ORACLE, "op3_warc": warc.ORACLE}
