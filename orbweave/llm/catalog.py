@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, simhash, warc
+from . import mixing, packing, quality, simhash, warc
 
 
 def queries() -> dict:
-    return {"op1_mix": mixing.op1_mix, "op2_pack": packing.op2_pack, "op3_warc": warc.op3_warc, "op5_simhash": simhash.op5_simhash}
+    return {"op1_mix": mixing.op1_mix, "op2_pack": packing.op2_pack, "op3_warc": warc.op3_warc, "op5_simhash": simhash.op5_simhash, "op9_quality": quality.op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:

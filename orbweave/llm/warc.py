@@ -10,8 +10,8 @@ parser joins what belongs together by the records' lengths (the separator may we
 each chunk with the digest and the length of the payload up to there. The last chunk's row has those of the whole payload.
 
 Duplicates: of records with equal payloads of at least MIN_REVISIT bytes that with the smallest id is stored, others refer
-to it. Only digests and ids are grouped and joined, never payloads. The join's large side may have a hot digest; the other
-has one row for each digest, so the hot side can be split by Spark's skew join handling.
+to it. Only digests and ids are grouped; payloads move once, to their digest's first id. That join's large side may have a hot
+digest; the other has one row for each digest, so Spark's skew join handling can split the hot side.
 
 Defined cases. Null payload: empty, a response. Null id: written as such; it is smallest only if all ids are null.
 Rows that repeat the smallest id are all responses. Null or odd urls are percent-encoded or left out. Other columns are ignored.
