@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, simhash, warc
+from . import mixing, packing, quality, secrets, simhash, warc
 
 
 def queries() -> dict:
-    return {"op1_mix": mixing.op1_mix, "op2_pack": packing.op2_pack, "op3_warc": warc.op3_warc, "op5_simhash": simhash.op5_simhash, "op9_quality": quality.op9_quality}
+    return {"op1_mix": mixing.op1_mix, "op2_pack": packing.op2_pack, "op3_warc": warc.op3_warc, "op5_simhash": simhash.op5_simhash, "op7_secrets": secrets.op7_secrets, "op9_quality": quality.op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": mixing.ORACLE, "op3_warc": warc.ORACLE}
+    return {"op1_mix": mixing.ORACLE, "op3_warc": warc.ORACLE, "op7_secrets": secrets.ORACLE}
