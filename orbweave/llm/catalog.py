@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import embedding, mixing, packing, quality, secrets, simhash, warc
+from . import embedding, lm, mixing, packing, quality, secrets, simhash, warc
 
 
 def queries() -> dict:
-    return {"op1_mix": mixing.op1_mix, "op2_pack": packing.op2_pack, "op3_warc": warc.op3_warc, "op5_simhash": simhash.op5_simhash, "op7_secrets": secrets.op7_secrets, "op9_quality": quality.op9_quality, "op10_embedding": embedding.op10_embedding}
+    return {"op1_mix": mixing.op1_mix, "op2_pack": packing.op2_pack, "op3_warc": warc.op3_warc, "op5_simhash": simhash.op5_simhash, "op6_lm": lm.op6_lm, "op7_secrets": secrets.op7_secrets, "op9_quality": quality.op9_quality, "op10_embedding": embedding.op10_embedding}
 
 
 def oracle_sql() -> dict[str, str]:
