@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import relational
+
 
 def queries() -> dict:
-    return {}
+    return {n: q.run for n, q in relational.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {n: q.sql for n, q in relational.QUERIES.items()}
