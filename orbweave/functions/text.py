@@ -10,7 +10,7 @@ from ..schema import MAX_STRING
 
 def bounded_length(s: Column, most: int = MAX_STRING) -> Column:
     """Bytes that a string takes up, its end included."""
-    return F.least(F.octet_length(s) + 1, F.lit(most)).cast("long")
+    return F.when(s.isNotNull(), F.least(F.octet_length(s) + 1, F.lit(most))).cast("long")
 
 
 def truncated(s: Column, most: int = MAX_STRING) -> Column:

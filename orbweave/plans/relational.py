@@ -422,7 +422,7 @@ def block_md5(spark, d):
     return blocks.digests(rows).select("doc_id", "md5", "length")
 
 
-@query("select doc_id, least(octet_length(encode(text)) + 1, 1024) as length from documents")
+@query("select doc_id, case when text is not null then least(octet_length(encode(text)) + 1, 1024) end as length from documents")
 def bounded_length(spark, d):
     return adapters.table(spark, d, "documents").select("doc_id", text.bounded_length(F.col("text")).alias("length"))
 
