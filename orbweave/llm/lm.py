@@ -159,8 +159,8 @@ def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {n: x.as_py() if n in ("block", "tokens") else as_is.get(n, lambda x: x.to_numpy(zero_copy_only=False))(x.values) for n, x in row.items() if x.is_valid}
 
 
-def triples(parts: DataFrame, unigrams: Unigrams) -> np.ndarray:
-    """Counts of all training triples: a row for each pair of context classes, a column for each class."""
+def triples(parts: DataFrame, unigrams: Unigrams) -> DataFrame:
+    """at, counts: pieces of the counts of all training triples. Their number is fixed, however large the corpus."""
     size = CONTEXTS * CONTEXTS * CLASSES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,12 +179,26 @@ def triples(parts: DataFrame, unigrams: Unigrams) -> np.ndarray:
         rows = rows.head(1)
         return rows.assign(counts=[zlib.compress(total.tobytes(), 1)])
 
-    found, kind = np.zeros(size, np.int64), "at long, counts binary"
+    kind = "at long, counts binary"
     pieces = parts.select("held", "lengths", "tokens", "words", "endings").mapInArrow(run, kind)
-    for r in pieces.groupBy("at").applyInPandas(add, kind).collect():  # of fixed size, however large the corpus
-        one = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64)
-        found[r["at"] : r["at"] + len(one)] = one
-    return found.reshape(CONTEXTS * CONTEXTS, CLASSES)
+    return pieces.groupBy("at").applyInPandas(add, kind)
+
+
+def trained(counts: DataFrame) -> np.ndarray:
+    """Log-probabilities of the model trained on what triples() counts. The counts are of fixed size, so one task trains."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        found = np.zeros(CONTEXTS * CONTEXTS * CLASSES, np.int64)
+        for at, data in zip(rows["at"], rows["counts"], strict=True):
+            one = np.frombuffer(zlib.decompress(data), np.int64)
+            found[at : at + len(one)] = one
+        table = LogBilinear().train(found.reshape(CONTEXTS * CONTEXTS, CLASSES)).table()
+        return pd.DataFrame({"table": [zlib.compress(table.astype(np.float32).tobytes(), 1)]})
+
+    done = counts.groupBy().applyInPandas(run, "table binary").first()
+    if done is None:  # nothing to train on
+        return LogBilinear().table().astype(np.float32)
+    return np.frombuffer(zlib.decompress(bytes(done[0])), np.float32).reshape(CONTEXTS * CONTEXTS, CLASSES)
 
 
 class LogBilinear:
@@ -196,6 +210,7 @@ class LogBilinear:
             "r": rng.normal(0, 0.3, (CONTEXTS, DIM)), "q": rng.normal(0, 0.3, (CLASSES, DIM)), "b": np.zeros(CLASSES),
             "far": np.eye(DIM) * 0.5, "near": np.eye(DIM) * 0.5,
         }
+        self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         self.far, self.near = np.divmod(np.arange(CONTEXTS * CONTEXTS), CONTEXTS)
 
     def scores(self) -> np.ndarray:
@@ -210,11 +225,11 @@ class LogBilinear:
         unigram = (counts.sum(0) + SMOOTH) / (total + SMOOTH * CLASSES)
         p["b"][:] = np.log(unigram)
         used = np.flatnonzero(counts.sum(1))
-        true = counts[used] / total
-        fake = noise * true.sum(1, keepdims=True) * unigram
-        log_noise = np.log(noise * unigram)
+        true = (counts[used] / total).astype(np.float32)
+        fake = (noise * true.sum(1, keepdims=True) * unigram).astype(np.float32)
+        log_noise = np.log(noise * unigram).astype(np.float32)
         far, near = self.far[used], self.near[used]
-        hot_far, hot_near = (np.eye(CONTEXTS)[x] for x in (far, near))
+        hot_far, hot_near = (np.eye(CONTEXTS, dtype=np.float32)[x] for x in (far, near))
         moved = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
         for step in range(1, steps + 1):
             a, b = p["r"] @ p["far"], p["r"] @ p["near"]
@@ -233,7 +248,7 @@ class LogBilinear:
         return self
 
     def table(self) -> np.ndarray:
-        s = self.scores()
+        s = self.scores().astype(float)
         s -= s.max(1, keepdims=True)
         return s - np.log(np.exp(s).sum(1, keepdims=True))
 
@@ -268,7 +283,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     counts = saved(word_counts(parts), "lm-words")
     n_ends = parts.select(F.sum(F.size(F.filter("held", lambda x: ~x)))).first()[0] or 0
     unigrams = Unigrams(counts, n_ends)
-    model = Model(unigrams, n_ends, LogBilinear().train(triples(parts, unigrams)).table())
+    model = Model(unigrams, n_ends, trained(triples(parts, unigrams)))
     known = parts.select("block", F.posexplode("words").alias("place", "word")).join(counts.select("word", "c"), "word", "left")
     known = known.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", F.coalesce("c", F.lit(0)).alias("c")))).getField("c").alias("c"))  # a block's words: bounded
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), *(T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
