@@ -3,9 +3,9 @@
 A page is a sequence of tokens: tags and blocks of text, each in its path of open elements. A token's occurrence vector says
 how often each page of the host holds it; it is summed up in a commutative signature, so vectors are never held. Tokens of
 equal signatures are an equivalence class. A class is valid if it has CLASS tokens at least, and stands in SUPPORT of the
-host's pages and of its distinct pages (by a bitmap of their hashes, so that copies of one page make no template). As a path
-holds a token's ancestors, classes nest by their paths. The valid classes of a host, in the order of mean places, are its
-template; a page's tokens are aligned to it by a longest increasing subsequence, and blocks that align are template text.
+host's pages and of its distinct pages (by a bitmap of their hashes, so that copies of one page make no template), and the host has
+MIN_PAGES distinct pages. As a path holds a token's ancestors, classes nest by their paths. The valid classes of a host, in the
+order of mean places, are its template; a page's tokens are aligned to it by a longest increasing subsequence, and blocks that align are template text.
 The slots that remain hold data. Those in elements that are menus, headers, footers, sidebars, notices, adverts, forms,
 scripts or comments by name, role, class or id are left out; of the others those in article or main elements are the text,
 and where a page has none, all that aren't mostly links.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .shared import saved, table
 
-SUPPORT, CLASS, MIN_PAGES = 0.8, 3, 4
+SUPPORT, CLASS, MIN_PAGES = 0.8, 3, 8
 #: Bytes of all templates up to which they are broadcast; entries of a task's token table.
 BROADCAST, ENTRIES = 16 << 20, 200_000
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
@@ -75,6 +75,7 @@ class _Open(NamedTuple):
     path: int
     dropped: bool
     scope: int
+    muted: bool  # a dropped element inside a line, and all in it: the block around it goes on
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -107,7 +108,7 @@ def _says_dropped(name: str, at: dict[str, str], scope: int) -> bool:
 
 def parse(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
     """Blocks of text in page order, and tokens (hash, place) of tags and blocks."""
-    stack = [_Open("", 0, False, 0)]
+    stack = [_Open("", 0, False, 0, False)]
     blocks: list[Block] = []
     tokens: list[tuple[int, int]] = []
     words: list[str] = []
@@ -116,7 +117,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
 
     def text(raw: str) -> None:
         nonlocal links, chars
-        if raw:
+        if raw and not stack[-1].muted:
             words.append(raw)
             n = len(raw.strip())
             chars += n
@@ -124,6 +125,8 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
 
     def flush() -> None:
         nonlocal links, chars
+        if stack[-1].muted:
+            return
         if words:
             whole = " ".join(unescape("".join(words)).split())
             if whole:
@@ -135,8 +138,8 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
         links = chars = 0
 
     def close(to: int) -> None:
-        flush()
         while len(stack) > to:
+            flush()
             tokens.append((stack.pop().path ^ 1, len(tokens)))
 
     def find(names: tuple[str, ...], until: tuple[str, ...] = ()) -> int:
@@ -190,15 +193,16 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
         role = attributes.get("role", "").lower()
         scope = top.scope if dropped else max(top.scope, 2 if name == "article" or role == "article" or "articlebody" in attributes.get("itemprop", "").lower() else 1 if name == "main" or role == "main" else 0)
         if is_block or dropped and not top.dropped or scope > top.scope:
-            if not is_block and dropped:
-                flush()
             if raw.endswith("/") and not is_block:
                 continue
+            if not is_block and not dropped:
+                flush()
             path = digest(f"{name} {attributes.get('class', '')}".encode("utf-8", "surrogatepass"), top.path) & ~1
-            stack.append(_Open(name, path, dropped, scope))
+            stack.append(_Open(name, path, dropped, scope, top.muted or dropped and not is_block))
             tokens.append((path, len(tokens)))
     text(page[at:] if not re.match(r"<[a-zA-Z/!?]", page[at:]) else "")
     close(1)
+    flush()
     return blocks, tokens
 
 
@@ -292,7 +296,7 @@ def templates(pages: DataFrame) -> DataFrame:
     wrapped = (F.sum(high) + F.shiftright(F.sum(low), 32)).bitwiseAND(F.lit(0xFFFFFFFF))
     each = token_figures(pages).groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("hits").alias("hits"), wrapped.alias("s1"), F.sum(low).bitwiseAND(F.lit(0xFFFFFFFF)).alias("s2"), F.bit_or("bits").alias("bits"), F.sum("place").alias("place"))
     each = saved(each.where(F.col("pages") >= MIN_PAGES), "page-tokens")
-    whole = each.where("token = 0").select("host", F.col("pages").alias("all_pages"), F.bit_count("bits").alias("all_bits"))
+    whole = each.where("token = 0").select("host", F.col("pages").alias("all_pages"), F.bit_count("bits").alias("all_bits")).where(F.col("all_bits") >= MIN_PAGES)
     frequent = each.where("token <> 0").join(whole, "host").where((F.col("pages") >= SUPPORT * F.col("all_pages")) & (F.bit_count("bits") >= SUPPORT * F.col("all_bits")))
     classes = frequent.withColumn("size", F.count("*").over(Window.partitionBy("host", "s1", "s2", "pages", "hits"))).where(F.col("size") >= CLASS)
     order = F.sort_array(F.collect_list(F.struct((F.col("place") / F.col("pages")).alias("at"), "token")))
