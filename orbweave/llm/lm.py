@@ -119,6 +119,11 @@ class Unigrams:
             self.tokens[r["ending"]] -= r["c"]
             self.types[r["ending"]] -= 1
 
+    def own_classes(self, counts: DataFrame) -> DataFrame:
+        """word, own: OWN rows at most."""
+        rows = [(bytearray(w), i) for w, i in self.top.items()]
+        return counts.sparkSession.createDataFrame(rows, "word binary, own short")
+
     def classes(self, words: list[bytes], endings: np.ndarray) -> np.ndarray:
         found = endings.astype(np.int64) + 1 + OWN
         own = [(i, self.top[w]) for i, w in enumerate(words) if w in self.top]
@@ -261,11 +266,11 @@ class Model:
         self.log_p = (log_p / np.log(10)).astype(np.float32)
 
     def score(self, row: dict) -> list[np.ndarray]:
-        """n_tokens, n_known, base_score, score of a block's texts. row["c"]: training counts of its words."""
+        """n_tokens, n_known, base_score, score of a block's texts. row has training counts (c) and classes of its words."""
         u = self.u
         tokens, lengths = _tokens(row)
         c, endings = row.get("c", np.zeros(0)).astype(float), row["endings"]
-        classes = u.classes(row["words"], endings)
+        classes = row.get("classes", np.zeros(0)).astype(np.int64)
         share = np.where(classes <= OWN, 0.0, np.log10((c + SMOOTH) / (u.tokens + SMOOTH * (u.types + 1))[endings]))
         below = np.log10(u.n + SMOOTH * (u.v + 1))
         of_text = np.repeat(np.arange(len(lengths)), lengths)
@@ -279,13 +284,15 @@ class Model:
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    parts = saved(blocks(docs, id_col, text_col), "lm-blocks")
-    counts = saved(word_counts(parts), "lm-words")
+    parts = saved(blocks(docs, id_col, text_col), "lm-blocks", "zstd")
+    counts = saved(word_counts(parts), "lm-words", "zstd")
     n_ends = parts.select(F.sum(F.size(F.filter("held", lambda x: ~x)))).first()[0] or 0
     unigrams = Unigrams(counts, n_ends)
     model = Model(unigrams, n_ends, trained(triples(parts, unigrams)))
-    known = parts.select("block", F.posexplode("words").alias("place", "word")).join(counts.select("word", "c"), "word", "left")
-    known = known.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", F.coalesce("c", F.lit(0)).alias("c")))).getField("c").alias("c"))  # a block's words: bounded
+    known = parts.select("block", F.posexplode(F.arrays_zip("words", "endings")).alias("place", "x")).select("block", "place", F.col("x.words").alias("word"), F.col("x.endings").alias("ending"))
+    known = known.join(counts.select("word", "c"), "word", "left").join(F.broadcast(unigrams.own_classes(counts)), "word", "left")
+    known = known.select("block", "place", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("own", (F.col("ending") + 1 + OWN).cast("short")).alias("class"))
+    known = known.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "c", "class"))).alias("k")).select("block", F.col("k.c").alias("c"), F.col("k.class").alias("classes"))  # a block's words: bounded
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), *(T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +301,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             figures = [pa.array(x) for x in (n_tokens, n_known, np.full(len(n_tokens), model.u.n), base, score)]
             yield pa.RecordBatch.from_arrays([row["ids"], pa.array(row["held"].astype(bool)), *figures], names=schema.names)
 
-    return parts.drop("counts").join(known, "block", "left").mapInArrow(run, schema)
+    return parts.select("block", "ids", "held", "lengths", "tokens", "endings").join(known, "block", "left").mapInArrow(run, schema)
 
 
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
