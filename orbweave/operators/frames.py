@@ -34,7 +34,7 @@ def nth_set(sets: DataFrame, n: int) -> DataFrame:
     return sets.where(F.col("frame_set") == n)
 
 
-def locate(rows: DataFrame, spans: DataFrame, at: str, low: str, size: str, keep: list[str]) -> DataFrame:
+def locate(rows: DataFrame, spans: DataFrame, at: str, low: str, size: str, keep: list) -> DataFrame:
     """rows with columns keep of the span (low inclusive, of size) that holds at; null if none does. Spans don't overlap.
 
     A few spans (at most SMALL, checked) are broadcast. Many are cut at buckets as wide as the mean span, so that an equi-join by

@@ -77,9 +77,22 @@ def write_files(sets: DataFrame, path: str, general: dict | None = None, molecul
     sets.repartitionByRange("frame_set").write.format(datasource.NAME).option("header", header).mode(mode).save(path)
 
 
-def read_files(spark: SparkSession, path: str, table: str = "particle_values") -> DataFrame:
+def read_files(spark: SparkSession, path: str, table: str = "particle_values", block_ids: tuple[int, ...] | None = None, frames: tuple[int, int] | None = None, sets: tuple[int, int] | None = None) -> DataFrame:
+    """A table of a trajectory. block_ids, frames and sets (first and last, both included) are left out where they aren't wanted before
+    any block is read."""
     datasource.register(spark)
-    return spark.read.format(datasource.NAME).option("table", table).load(path)
+    source = spark.read.format(datasource.NAME).option("table", table)
+    columns = {x.split()[0] for x in datasource.TABLES[table].split(", ")} if table in datasource.TABLES else set()
+    wanted = F.lit(True)
+    if block_ids is not None:
+        source, wanted = source.option("block_ids", ",".join(map(str, block_ids))), wanted & F.col("block_id").isin(list(block_ids))
+    for name, bounds in (("frame", frames), ("set", sets)):
+        if bounds is not None:
+            source = source.option(f"first_{name}", bounds[0]).option(f"last_{name}", bounds[1])
+            column = "frame_set" if name == "set" else "frame"
+            wanted = wanted & F.col(column).between(*bounds) if column in columns else wanted
+    found = source.load(path)
+    return found if block_ids is frames is sets is None else found.where(wanted)
 
 
 def write_tables(values: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -99,7 +99,7 @@ def file_roundtrip(spark, d) -> DataFrame:
     """Written as files of the binary format, and read back by the data source."""
     path = scratch_folder(spark, "file")
     storage.write_files(storage.encoded(_positions(spark, d), precision=PRECISION, codec=3), path, {"frames_per_set": schema.FRAMES_PER_SET})
-    found = storage.read_files(spark, path).where(F.col("block_id") == schema.POSITIONS).select("frame", "particle", F.posexplode("values").alias("dim", "value"))
+    found = storage.read_files(spark, path, block_ids=(schema.POSITIONS,)).select("frame", "particle", F.posexplode("values").alias("dim", "value"))
     return found.select("frame", "particle", F.col("dim").cast("long").alias("dim"), "value")
 
 

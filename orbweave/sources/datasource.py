@@ -1,19 +1,24 @@
 """The trajectory format as a Python data source: spark.read.format("trajectory").option("table", ...).load(path).
 
-Tables: the canonical ones of schema.py. A partition is a run of frame sets of one file, found by reading headers only. Predicates on
-block_id, frame and frame_set leave out sets and blocks before they are read. As a stream, offsets are ordinals of frame sets. The
+Tables: the canonical ones of schema.py. A partition is a run of frame sets of one file, found by reading headers only. The options
+block_ids, first_frame, last_frame, first_set and last_set leave out sets and blocks before they are read; read_files() sets them. (Spark 4.1
+keeps a Python source's pushed predicates with the table, so that a second query on one DataFrame would get the first one's;
+predicates are therefore not pushed.) As a stream, offsets are ordinals of frame sets. The
 writer makes one self-contained file for each task, in a folder; files of failed tasks are deleted.
 """
 
 from __future__ import annotations
 
+import base64
+import json
+import pickle
 import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from .. import schema
 from . import blockfile as bf
@@ -37,7 +42,7 @@ class Sets(InputPartition):
 
 
 class Bounds(NamedTuple):
-    """What pushed predicates leave: block ids, and first and last frame and frame set."""
+    """What is to be read: block ids, and first and last frame and frame set."""
 
     ids: frozenset[int] | None = None
     frames: tuple[float, float] = (-np.inf, np.inf)
@@ -176,7 +181,9 @@ def read_set(table: str, file: bf.File, ordinal: int, at: int, general: dict, mo
             yield _value_batch(["block_id", "frame_set", "frame", "particle", "values"], [x[keep] for x in scalars], values[part].reshape(count * n, -1)[keep])
 
 
-def read_partition(table: str, partition: Sets, bounds: Bounds) -> Iterator[pa.RecordBatch]:
+def read_partition(table: str, partition: Sets | None, bounds: Bounds) -> Iterator[pa.RecordBatch]:
+    if not isinstance(partition, Sets):  # Spark asks for one partition where there is none
+        return
     with bf.open_read(partition.path) as source:
         file = bf.File(source)
         if partition.top:
@@ -187,25 +194,15 @@ def read_partition(table: str, partition: Sets, bounds: Bounds) -> Iterator[pa.R
             yield from read_set(table, file, ordinal, at, general, molecules, bounds)
 
 
+def bounds_of(options: dict) -> Bounds:
+    number = lambda name, other: float(options[name]) if options.get(name) not in (None, "") else other
+    ids = frozenset(int(x) for x in options["block_ids"].split(",")) if options.get("block_ids") else None
+    return Bounds(ids, (number("first_frame", -np.inf), number("last_frame", np.inf)), (number("first_set", -np.inf), number("last_set", np.inf)))
+
+
 class Reader(DataSourceReader):
-    def __init__(self, path: str, table: str):
-        self.path, self.table, self.bounds = path, table, Bounds()
-
-    def pushFilters(self, filters):
-        """Predicates narrow what is read; Spark applies them again, so sets and blocks need only be left out as wholes."""
-        ids, spans = None, {"frame": [-np.inf, np.inf], "frame_set": [-np.inf, np.inf]}
-        for f in filters:
-            name = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
-            if name == "block_id" and isinstance(f, EqualTo | In):
-                found = frozenset(f.value if isinstance(f, In) else (f.value,))
-                ids = found if ids is None else ids & found
-            elif name in spans:
-                if isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual):
-                    spans[name][0] = max(spans[name][0], f.value)
-                if isinstance(f, EqualTo | LessThan | LessThanOrEqual):
-                    spans[name][1] = min(spans[name][1], f.value)
-            yield f
-        self.bounds = Bounds(ids, tuple(spans["frame"]), tuple(spans["frame_set"]))
+    def __init__(self, path: str, table: str, bounds: Bounds = Bounds()):
+        self.path, self.table, self.bounds = path, table, bounds
 
     def partitions(self):
         if self.table not in OF_SETS:
@@ -213,7 +210,7 @@ class Reader(DataSourceReader):
             return [Sets(f, [], True) for f in (files if self.table == "blocks" else files[:1])]
         whole_file_rows = self.table in ("data_blocks", "molecule_counts")
         found = Layout(self.path, self.bounds).partitions()
-        return found + [Sets(bf.listed(self.path)[0], [], True)] * whole_file_rows
+        return found + [Sets(f, [], True) for f in bf.listed(self.path)[: int(whole_file_rows)]]
 
     def read(self, partition):
         yield from read_partition(self.table, partition, self.bounds)
@@ -254,9 +251,6 @@ class Writer(DataSourceWriter):
         self.path, self.header = path.rstrip("/"), header
 
     def write(self, iterator):
-        import json
-        import pickle
-
         general, molecules, static = pickle.loads(self.header)
         sets = sorted(((r["frame_set"], json.loads(r["meta"]), bytes(r["body"])) for r in iterator), key=lambda x: x[0])
         if not sets:
@@ -292,6 +286,16 @@ def _delete(path: str) -> None:
     store.delete_file(inner)
 
 
+def emptied(path: str) -> None:
+    """Deletes the files of a path, if there are any."""
+    try:
+        old = bf.listed(path)
+    except FileNotFoundError:
+        return
+    for name in old:
+        _delete(name)
+
+
 class TrajectorySource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -307,7 +311,7 @@ class TrajectorySource(DataSource):
         return TABLES[self._table()]
 
     def reader(self, schema):
-        return Reader(self.options["path"], self._table())
+        return Reader(self.options["path"], self._table(), bounds_of(self.options))
 
     def streamReader(self, schema):
         table = self._table()
@@ -316,19 +320,10 @@ class TrajectorySource(DataSource):
         return StreamReader(self.options["path"], table)
 
     def writer(self, schema, overwrite: bool):
-        path = self.options["path"]
         if overwrite:
-            try:
-                old = bf.listed(path)
-            except FileNotFoundError:
-                old = []
-            for name in old:
-                _delete(name)
-        import base64
-
-        return Writer(path, base64.b64decode(self.options["header"]))
+            emptied(self.options["path"])
+        return Writer(self.options["path"], base64.b64decode(self.options["header"]))
 
 
 def register(spark) -> None:
     spark.dataSource.register(TrajectorySource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

@@ -95,13 +95,17 @@ def test_sparse_frames(spark, whole):
     assert [(r["frame"], r["values"]) for r in rows] == [(40, [4.0]), (45, [5.0]), (50, [5.0]), (55, [6.0])]
 
 
-def test_predicates_leave_out_sets_and_blocks(whole):
-    reader = datasource.Reader(whole[0], "particle_values")
-    equal = datasource.EqualTo(("block_id",), schema.POSITIONS)
-    between = [datasource.GreaterThanOrEqual(("frame",), 31), datasource.LessThan(("frame",), 42)]
-    assert len(list(reader.pushFilters([equal, *between]))) == 3  # Spark applies them again
-    sets = [o for p in reader.partitions() for o, _ in p.sets]
-    assert sets == [3, 4] and reader.bounds.ids == {schema.POSITIONS}
+def test_what_is_not_wanted_is_not_read(spark, whole):
+    reader = datasource.Reader(whole[0], "particle_values", datasource.bounds_of({"block_ids": str(schema.POSITIONS), "first_frame": "31", "last_frame": "42"}))
+    assert [o for p in reader.partitions() for o, _ in p.sets] == [3, 4] and reader.bounds.ids == {schema.POSITIONS}
+    got = storage.read_files(spark, whole[0], block_ids=(schema.POSITIONS,), frames=(31, 42))
+    assert got.select("frame").distinct().count() == 12 and storage.read_files(spark, whole[0], block_ids=(5,)).count() == 0
+    assert storage.read_files(spark, whole[0], "frame_sets", sets=(2, 3)).count() == 2
+
+
+def test_queries_on_one_table_do_not_mix(spark, whole):
+    rows = storage.read_files(spark, whole[0], "frame_sets")
+    assert [rows.where(f"frame_set = {i}").first()["first_frame"] for i in (4, 5)] == [40, 50] and rows.count() == 12
 
 
 def test_broken_hash_is_told(spark, whole, tmp_path):
