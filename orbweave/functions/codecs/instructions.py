@@ -407,3 +407,9 @@ def streams_decode(data: bytes, n: int, n_atoms: int) -> np.ndarray:
         else:
             kind = code
     return np.array(out, np.int64).ravel()
+
+
+def quite_large(triplet: np.ndarray, small: int, margin: int = 3) -> bool:
+    """Whether a triplet's differences exceed a base some places above the small one; always so near the table's end."""
+    at = small + margin
+    return at >= len(BASES) or bool((zigzag(np.asarray(triplet)) > BASES[at]).any())
