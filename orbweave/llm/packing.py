@@ -38,7 +38,7 @@ END_ID = 2
 #: Pieces that pack together, about.
 GROUP = 4096
 #: Entries of the word cache of a Python worker, and the longest text it keeps.
-CACHE, CACHE_CHARS = 200_000, 48
+CACHE, CACHE_CHARS = 400_000, 48
 BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -62,9 +62,7 @@ class _Words(dict):
             ids = self[word[:-1]] + stop
         else:
             ids = array("I", self.own.encode_ordinary(" " + word)).tobytes()
-        if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE:
-                self.clear()
+        if len(self) < CACHE and len(word) <= CACHE_CHARS:  # a full one keeps what came first: mostly the frequent words
             self[word] = ids
         return ids
 
