@@ -224,8 +224,9 @@ def classes(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     rep = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("rep")
     own = saved(fps.groupBy("fp").agg(rep), "simhash-classes")
     roots = components(links(own.select("fp"), distance)).select(F.col("node").alias("fp"), "root")
-    own = own.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    return own.drop("rep").join(own.groupBy("root").agg(F.min("rep").alias("rep")), "root").drop("root")
+    own = saved(own.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-rooted")
+    reps = saved(own.groupBy("root").agg(F.min("rep").alias("rep")), "simhash-reps")  # so that a large component's rows can be split in the join
+    return own.drop("rep").join(reps, "root").drop("root")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
