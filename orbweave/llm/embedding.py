@@ -30,6 +30,8 @@ COSINE = 0.98
 TABLES, PROJECTIONS, WIDTH, SEED = 12, 14, 2.0, 20
 #: Classes of a block of a large bucket; members of a unit, about.
 BLOCK, UNIT = 2048, 8000
+#: Buckets of so many classes or fewer are compared together, TOGETHER pairs at once (or a row's).
+SMALL, TOGETHER = 64, 1 << 16
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -70,49 +72,62 @@ def _classes(rows: DataFrame, tables: int, projections: int, width: float) -> Da
     return one.mapInArrow(run, f"node long, h1 long, h2 long, id {rows.schema['id'].dataType.simpleString()}, n long, label long, vector binary, keys array<long>")
 
 
-def _linked(x: pd.DataFrame, y: pd.DataFrame | None, t: int, cosine: float) -> tuple[np.ndarray, ...]:
-    """Places in x and in y (x itself if None) of linked pairs that meet in no table before t."""
-    z = x if y is None else y
-    a, b = (_unit(np.stack([np.frombuffer(v) for v in s["vector"]])) for s in (x, z))
-    i, j = np.nonzero(a @ b.T >= cosine)
-    keys, other = (np.stack(s["keys"].to_numpy()) for s in (x, z))
-    new = (x["label"].to_numpy()[i] == z["label"].to_numpy()[j]) & ((i < j) if y is None else True)
-    i, j = i[new], j[new]
-    for before in range(t):
-        new = keys[i, before] != other[j, before]
-        i, j = i[new], j[new]
-    return i, j
+def _first_shared(keys: np.ndarray, a: np.ndarray, b: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Whether table t is the first in which rows a and b of keys meet."""
+    return (keys[a] == keys[b]).argmax(1) == t
+
+
+def _near_in_small(vectors: np.ndarray, ends: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of near pairs. ends: where the group of each row ends (the row's own place, if it has none); groups are small."""
+    after = ends - np.arange(len(vectors)) - 1
+    after = np.maximum(after, 0)
+    upto = np.cumsum(after)
+    start = 0
+    while start < len(vectors):
+        stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + TOGETHER, "right")))
+        a = np.repeat(np.arange(start, stop), after[start:stop])
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(after[start:stop]) - after[start:stop], after[start:stop])
+        near = np.einsum("ij,ij->i", vectors[a], vectors[b]) >= cosine
+        yield a[near], b[near]
+        start = stop
 
 
 def _join(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
     """a: a node; b: null with n links of a, or another node of a spanning forest (n is 0)."""
     out = [pd.DataFrame({"a": [], "b": [], "n": []}).astype({"a": "int64", "b": "Int64", "n": "int64"})]
-    for (t, _, i, j), own in rows.groupby(["t", "key", "i", "j"], sort=False):
-        if len(own) < 2:
-            continue
-        for _, same in own.groupby(own["vector"].str.len(), sort=False):
-            same = same.sort_values("node")
-            x, y = (same, None) if i == j else (same[same["block"] == i], same[same["block"] == j])
-            if not len(x) or y is not None and not len(y):
-                continue
-            z = x if y is None else y
-            p, q = _linked(x, y, int(t), cosine)
-            if not len(p):
-                continue
-            nodes = np.concatenate((x["node"].to_numpy(), z["node"].to_numpy()))
-            links = np.concatenate((np.bincount(p, z["n"].to_numpy()[q], len(x)), np.bincount(q, x["n"].to_numpy()[p], len(z)))).astype("int64")
-            out.append(pd.DataFrame({"a": nodes, "b": pd.array([None] * len(nodes), "Int64"), "n": links})[links > 0])
-            label = np.arange(len(x) + (len(z) if y is not None else 0))
-            q = q if y is None else q + len(x)
-            while (apart := label[p] != label[q]).any():
-                p, q = p[apart], q[apart]
-                u, v = label[p], label[q]
-                np.minimum.at(label, np.maximum(u, v), np.minimum(u, v))
-                while ((up := label[label]) != label).any():
-                    label = up
-            own_nodes = nodes[: len(label)]
-            tied = np.flatnonzero(label != np.arange(len(label)))
-            out.append(pd.DataFrame({"a": own_nodes[tied], "b": pd.array(own_nodes[label[tied]], "Int64"), "n": 0}))
+    for _, same in rows.groupby(rows["vector"].str.len(), sort=False):
+        same = same.sort_values(["t", "key", "i", "j", "block", "node"], kind="stable")
+        vectors = _unit(np.frombuffer(b"".join(same["vector"])).reshape(len(same), -1))
+        keys = np.stack(same["keys"].to_numpy())
+        node, n, label, t, i, j, block = (same[c].to_numpy() for c in ("node", "n", "label", "t", "i", "j", "block"))
+        groups = same[["t", "key", "i", "j"]].to_numpy()
+        starts = np.flatnonzero(np.concatenate(([True], (groups[1:] != groups[:-1]).any(1))))
+        sizes = np.diff(np.append(starts, len(same)))
+        whole = (i == j)[starts]
+        small = whole & (sizes <= SMALL)
+        ends = np.where(np.repeat(small, sizes), np.repeat(starts + sizes, sizes), np.arange(len(same)))
+        found = list(_near_in_small(vectors, ends, cosine))
+        for start, size, own in zip(starts[~small].tolist(), sizes[~small].tolist(), whole[~small].tolist(), strict=True):
+            x = np.arange(start, start + size)
+            x, y = (x, x) if own else (x[block[x] == i[start]], x[block[x] == j[start]])
+            p, q = np.nonzero(vectors[x] @ vectors[y].T >= cosine)
+            p, q = x[p], y[q]
+            found.append((p[p < q], q[p < q]) if own else (p, q))
+        p, q = (np.concatenate(k) for k in zip(*found, strict=True))
+        new = (label[p] == label[q]) & _first_shared(keys, p, q, t[p])
+        p, q = p[new], q[new]
+        links = (np.bincount(p, n[q], len(same)) + np.bincount(q, n[p], len(same))).astype("int64")
+        some = links > 0
+        out.append(pd.DataFrame({"a": node[some], "b": pd.array([None] * int(some.sum()), "Int64"), "n": links[some]}))
+        top = np.arange(len(same))
+        while (apart := top[p] != top[q]).any():
+            p, q = p[apart], q[apart]
+            u, v = top[p], top[q]
+            np.minimum.at(top, np.maximum(u, v), np.minimum(u, v))
+            while ((up := top[top]) != top).any():
+                top = up
+        tied = np.flatnonzero(node != node[top])
+        out.append(pd.DataFrame({"a": node[tied], "b": pd.array(node[top[tied]], "Int64"), "n": 0}))
     return pd.concat(out)
 
 
@@ -124,7 +139,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = rows.withColumn("ok", F.coalesce(F.col("label").isNotNull() & F.col("vector").isNotNull() & finite, F.lit(False))).withColumn("h1", F.xxhash64("label", "vector")).withColumn("h2", F.xxhash64(F.lit(1), "vector", "label"))
     classes = saved(_classes(rows, tables, projections, width), "vector-classes")
     keys = classes.select("node", F.posexplode("keys").alias("t", "key"))
-    buckets = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    buckets = saved(keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "vector-buckets")  # so that a large bucket's rows can be split in the join
     members = keys.join(buckets, "key").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "t", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     work = members.join(classes.select("node", "n", "label", "vector", "keys"), "node")
@@ -134,7 +149,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     links = out.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     roots = components(out.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")))
     per = classes.select("node", "h1", "h2", "id", "n").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    per = per.join(per.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("h1", "h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id", F.lit(True).alias("ok"))
+    per = saved(per, "vector-rooted")
+    least = saved(per.groupBy("root").agg(F.min("id").alias("component_id")), "vector-least")  # so that a large component's rows can be split in the join
+    per = per.join(least, "root").select("h1", "h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id", F.lit(True).alias("ok"))
     done = rows.select("id", "h1", "h2", "ok").join(per, ["h1", "h2", "ok"], "left").withColumn("component_id", F.when(F.col("ok"), F.col("component_id")).otherwise(F.col("id")))
     return done.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
