@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbweave.llm import mixing, packing, quality, secrets, simhash
+from orbweave.llm import mixing, packing, quality, secrets, similar
 from orbweave.llm.shared import new_path, table
 
 
@@ -19,8 +19,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.dedup(docs)
+    """One document of each group of near-duplicates: those linked by a similarity of 0.8 or more of their five-word shingles."""
+    return similar.dedup(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,17 +37,24 @@ PAIRS = 1 << 21
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: str | None, k: int = SHINGLE) -> int:
-    """64-bit SimHash of a text's k-word shingles, as a signed number."""
+def shingle_hashes(text: str | None, k: int = SHINGLE) -> np.ndarray:
+    """Unsigned 64-bit hashes of a text's k-word shingles, in their order; none if it has no word."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(k, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: str | None, k: int = SHINGLE) -> int:
+    """64-bit SimHash of a text's k-word shingles, as a signed number."""
+    hashes = shingle_hashes(text, k)
+    if not len(hashes):
+        return 0
     set_bits = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 14):
         part = hashes[i : i + (1 << 14)]
@@ -65,10 +72,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = pa.array([fingerprint(t.as_py(), k) for t in b.column(3)], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), fp], names=schema.names)
 
-    return docs.select(F.col(id_col).alias("id"), *_row_name(id_col, text_col), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), *row_name(id_col, text_col), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def _row_name(id_col: str, text_col: str) -> tuple:
+def row_name(id_col: str, text_col: str) -> tuple:
     return F.xxhash64(id_col, text_col).alias("k1"), F.xxhash64(F.lit(1), text_col, id_col).alias("k2")
 
 
@@ -243,7 +250,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     fps = saved(fingerprints(plain, at[id_col], at[text_col], k), "simhash-fps")
     kept = classes(fps, distance).select(F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2")).distinct()
     once = Window.partitionBy("k1", "k2").orderBy("k1", "k2")
-    rows = plain.select("*", *_row_name(at[id_col], at[text_col])).join(kept, ["k1", "k2"], "left_semi")
+    rows = plain.select("*", *row_name(at[id_col], at[text_col])).join(kept, ["k1", "k2"], "left_semi")
     return rows.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))
 
 
