@@ -355,6 +355,12 @@ def mtf_ranks(spark, d):
     return runs.move_to_front(adapters.symbols(spark, d).where("frame < 2000"), "frame_set")
 
 
+@query("""with s as (select event_id as frame, event_id // 100 as frame_set, event_type as sym, lag(event_id) over (partition by event_id // 100, event_type order by event_id) as last from events)
+select a.frame_set, a.frame, a.sym, case when max(a.last) is not null then count(distinct b.sym) end as mtf from s a left join s b on b.frame_set = a.frame_set and b.frame > a.last and b.frame < a.frame group by all""")
+def mtf_ranks_all(spark, d):
+    return runs.move_to_front(adapters.symbols(spark, d), "frame_set")
+
+
 @query(f"with {DELTA_INTER} select count(*) filter (case when delta > 0 then 2 * delta - 1 else -2 * delta end >= 30) <= count(*) // 10 as few from d")
 def few_large(spark, d):
     rows = adapters.long_form(deltas.inter(deltas.quantised(adapters.frames(spark, d), PRECISION)).drop("q"), "delta", "delta")
