@@ -269,6 +269,11 @@ def delta_inter(spark, d):
     return adapters.long_form(deltas.inter(deltas.quantised(rows, PRECISION)).drop("q"), "delta", "delta").drop("frame_set")
 
 
+@query(f"with {DELTA_INTER} select frame, particle, dim, delta from d")
+def delta_inter_all(spark, d):
+    return adapters.long_form(deltas.inter(deltas.quantised(adapters.frames(spark, d), PRECISION)).drop("q"), "delta", "delta").drop("frame_set")
+
+
 @query(f"with {DELTA_INTRA} select frame, particle, dim, delta from d")
 def delta_intra(spark, d):
     return adapters.long_form(deltas.intra(deltas.quantised(adapters.frames(spark, d), PRECISION)).drop("q", "frame_set"), "delta", "delta")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import __spark_entry__
 from orbweave.plans import relational
 
 from .conftest import same_rows
@@ -19,3 +22,25 @@ def test_move_to_front_of_all_events(spark):
         seen[sym] = frame
     got = relational.QUERIES["mtf_ranks_all"].run(spark, SF).select("frame_set", "frame", "sym", "mtf")
     same_rows(got.collect(), want)
+
+
+def deltas_of_all_frames(spark, folder):
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()
+    q = {r[0]: [math.floor(float(x) / relational.PRECISION + 0.5) for x in r[1][:63]] for r in rows}
+    want, last = [], {}
+    for frame in sorted(q):
+        before = last.get(frame // 100, [0] * 63)
+        want += [(frame, i // 3, i % 3, q[frame][i] - before[i]) for i in range(63)]
+        last[frame // 100] = q[frame]
+    return want
+
+
+def test_inter_frame_deltas_of_all_frames(spark):
+    want = deltas_of_all_frames(spark, SF)
+    assert max(r[0] for r in want) > 299
+    got = relational.QUERIES["delta_inter_all"].run(spark, SF)
+    same_rows(got.select("frame", "particle", "dim", "delta").collect(), want)
+
+
+def test_entry_has_all_frames(spark, sf):
+    same_rows(__spark_entry__.entry(spark).select("frame", "particle", "dim", "delta").collect(), deltas_of_all_frames(spark, sf))
