@@ -37,6 +37,11 @@ class Rule(NamedTuple):
         return f"{self.kind}@{self.version}"
 
 
+#: A private key goes to its END line if no other line of dashes comes first (up to 200 single dashes between), else over the
+#: headers and base64 lines that follow; of these, a last one may be short.
+KEY_BEGIN = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+KEY_TO_END = r"[^-]*+(?:-(?!----)[^-]*+){0,200}-----END [A-Z ]{0,40}PRIVATE KEY-----"
+KEY_LINES = r"(?:\s+[A-Z][A-Za-z-]{2,40}:\x20[^\r\n]*+){0,9}(?:\s+[A-Za-z0-9+/]{16,}+={0,2}){1,1000}(?:\r?\n[A-Za-z0-9+/]{1,15}={0,2}(?![^\r\n]))?"
 #: The first BASE rules are the agreed ones; the others only add spans.
 RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 2, 8),
@@ -47,7 +52,7 @@ RULES = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", KEY_BEGIN + r"(?:" + KEY_TO_END + r"|" + KEY_LINES + r")?", 2),
 )
 BASE = 3
 MARK = "[REDACTED]"
