@@ -7,12 +7,12 @@ unpacked pieces that fit the gap, widened by it, more tightly.
 Pieces are dealt by a hash of their key into groups of about GROUP rows, which pack independently: at thousands of pieces
 a group, what is lost at a group's end is some hundredths of a percent, and no task grows with the input.
 
-Token ids equal those of the `tokenizers` library with the same file (special tokens' strings count as ordinary text).
-They are made word by word from a bounded cache: between two non-space characters a single space always begins a new
-pre-token, so a text may be cut there.
+Token ids equal those of the `tokenizers` library with the same file: an added token's string in a text is that token's id,
+and what stands between such strings is encoded on its own. Ids are made word by word from a bounded cache: between two
+non-space characters a single space always begins a new pre-token, so a text may be cut there.
 
 Defined cases. Null text: empty, so the end id alone. Null ids and repeated rows: each row is a document of its own.
-Ties: by a hash of id, piece and ids. An empty table: no rows.
+Ties: by a hash of id, piece and ids. An empty table: no rows. Very long texts: encoded whole, one text at a time, and cut.
 """
 
 from __future__ import annotations
@@ -81,16 +81,30 @@ def encoder(path: str):
     import tiktoken
 
     model = json.load(open(path, encoding="utf-8"))
-    special = {x["content"] for x in model.get("added_tokens", ())}
+    added = {x["content"]: array("I", [x["id"]]).tobytes() for x in model.get("added_tokens", ())}
+    odd = [x["content"] for x in model.get("added_tokens", ()) if x.get("single_word") or x.get("lstrip") or x.get("rstrip") or x.get("normalized")]
+    if odd or model.get("normalizer"):
+        raise ValueError(f"{path}: added tokens with flags, and normalizers, aren't supported: {odd}")
     back = _byte_of_letter()
-    ranks = {bytes(back[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
+    ranks = {bytes(back[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in added}
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     words = _Words(own)
 
-    def ids(text: str) -> bytes:
+    def plain(text: str) -> bytes:
         first, *rest = BETWEEN_WORDS.split(text)
         return array("I", own.encode_ordinary(first)).tobytes() + b"".join(map(words.__getitem__, rest))
 
+    if not added:
+        return plain
+    between = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))))
+
+    def ids(text: str) -> bytes:
+        out, at = [], 0
+        for m in between.finditer(text):
+            out += (plain(text[at : m.start()]), added[m[0]])
+            at = m.end()
+        return b"".join((*out, plain(text[at:]))) if out else plain(text)
+
     return ids
 
 

@@ -1,8 +1,10 @@
 """Secret scans with an incremental blob ledger. All of it is DataFrame and SQL functions.
 
 A text version is addressed by its content (SHA-256). The ledger holds, for each blob, the rule versions that have scanned
-it, and what they found. A scan hashes all rows, looks up their blobs, and runs only the rules that have not seen a blob,
-on one row for each such blob; findings then join back to every row that holds the blob.
+it, and what each of them found. A scan hashes all rows, looks up their blobs, and runs only the rule versions that have not
+seen a blob, on one row for each such blob; findings then join back to every row that holds the blob. Findings carry the name
+of their rule and its version, so those of a superseded version stay in the ledger as history and are in no report.
+update() keeps a ledger as tables in shared storage, to which each scan appends only what is new.
 
 Places come without any user function: a text split at a rule's matches gives the lengths between them, and running sums
 of these and the matches' lengths are the places, in code points.
@@ -12,6 +14,7 @@ can split.
 
 Defined cases. Null text: the empty blob, which holds nothing. Null ids and repeated rows: reported one by one. Overlapping
 spans of several kinds are all reported; redact() joins them first. Other columns are kept by redact(), whatever their names.
+An empty table: no rows, and an empty ledger. Very long texts: scanned whole, each in the one row that holds it.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import saved, table
+from .shared import new_path, saved, table
 
 
 class Rule(NamedTuple):
@@ -56,20 +59,38 @@ RULES = (
 )
 BASE = 3
 MARK = "[REDACTED]"
-SEEN, FOUND = "blob string, rules array<string>", "blob string, kind int, start long, end long"
+SEEN, FOUND = "blob string, rules array<string>", "blob string, rule string, start long, end long"
 
 
 class Ledger(NamedTuple):
-    """seen: blob, rules (names that have scanned it). found: blob, kind (place in RULES), start, end."""
+    """seen: blob, rules (names with versions that have scanned it). found: blob, rule (name with version), start, end."""
 
     seen: DataFrame
     found: DataFrame
 
+    def current(self, rules: tuple[Rule, ...]) -> DataFrame:
+        """found by these rule versions: blob, kind (place in rules), start, end."""
+        places = F.create_map(*(F.lit(x) for i, r in enumerate(rules) for x in (r.name, i)))
+        return self.found.where(F.col("rule").isin([r.name for r in rules])).select("blob", F.element_at(places, F.col("rule")).alias("kind"), "start", "end")
+
 
 def empty_ledger(spark: SparkSession) -> Ledger:
     return Ledger(spark.createDataFrame([], SEEN), spark.createDataFrame([], FOUND))
 
 
+def load(spark: SparkSession, path: str) -> Ledger:
+    """The ledger that update() keeps at path. Findings that an update cut short has written twice count once."""
+    seen = spark.read.schema(SEEN).parquet(f"{path}/seen")
+    seen = seen.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("rules"))  # rule versions: bounded
+    return Ledger(seen, spark.read.schema(FOUND).parquet(f"{path}/found").distinct())
+
+
+def append(new: Ledger, path: str) -> None:
+    """Adds a ledger's rows to that at path (a folder in shared storage). Findings go first: a blob that is told to be seen has its findings there."""
+    new.found.write.mode("append").parquet(f"{path}/found")
+    new.seen.write.mode("append").parquet(f"{path}/seen")
+
+
 def _blob(text: str) -> Column:
     return F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256)
 
@@ -84,8 +105,8 @@ def _matches(text: Column, rule: Rule, number: int) -> Column:
     return F.when(text.rlike(rule.pattern), F.struct(F.lit(number).alias("kind"), F.arrays_zip(before.alias("before"), length.alias("length"), ok.alias("ok")).alias("m")))
 
 
-def scan(docs: DataFrame, ledger: Ledger | None = None, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> Ledger:
-    """The ledger after a scan of docs: unseen pairs of a blob and a rule version are scanned, others taken from ledger."""
+def scan_new(docs: DataFrame, ledger: Ledger | None = None, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> Ledger:
+    """What a scan of docs adds to the ledger: the pairs of a blob and a rule version that it has not, and their findings."""
     names = [r.name for r in rules]
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("blob", _blob("text"))
     blobs = rows.groupBy("blob").agg(F.min(F.struct("id")).getField("id").alias("id"))
@@ -95,18 +116,32 @@ def scan(docs: DataFrame, ledger: Ledger | None = None, id_col: str = "doc_id",
     else:
         blobs = blobs.join(ledger.seen, "blob", "left").withColumn("todo", F.array_except(every, F.coalesce("rules", F.array().cast("array<string>")))).where(F.size("todo") > 0).drop("rules")
     blobs = saved(blobs, "secret-blobs")
-    unseen = rows.alias("r").join(blobs.alias("b").hint("shuffle_hash"), (F.col("r.blob") == F.col("b.blob")) & F.col("r.id").eqNullSafe(F.col("b.id"))).select("r.blob", "r.text", "b.todo")
+    unseen = rows.alias("r").join(blobs.alias("b"), (F.col("r.blob") == F.col("b.blob")) & F.col("r.id").eqNullSafe(F.col("b.id"))).select("r.blob", "r.text", "b.todo")
     text = F.col("text")
     each = F.array(*(F.when(F.array_contains("todo", r.name), _matches(text, r, i)) for i, r in enumerate(rules)))
     hits = unseen.select("blob", F.explode(F.array_compact(each)).alias("h")).select("blob", "h.kind", F.posexplode("h.m").alias("nth", "m")).where("m.length is not null")
     running = Window.partitionBy("blob", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     hits = hits.distinct().withColumn("end", F.sum(F.expr("m.before + m.length")).over(running)).where("m.ok")  # a blob may be met twice, if rows repeat
-    found = hits.select("blob", "kind", F.expr("end - m.length").alias("start"), "end")
-    seen = blobs.select("blob", F.col("todo").alias("rules"))
-    if ledger is not None:
-        seen = ledger.seen.unionByName(seen).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("rules"))
-        found = ledger.found.unionByName(found)
-    return Ledger(seen, saved(found, "secret-findings"))
+    found = hits.select("blob", F.element_at(every, F.col("kind") + 1).alias("rule"), F.expr("end - m.length").alias("start"), "end")
+    return Ledger(blobs.select("blob", F.col("todo").alias("rules")), saved(found, "secret-findings"))
+
+
+def scan(docs: DataFrame, ledger: Ledger | None = None, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> Ledger:
+    """The ledger after a scan of docs: unseen pairs of a blob and a rule version are scanned, others taken from ledger."""
+    new = scan_new(docs, ledger, id_col, text_col, rules)
+    if ledger is None:
+        return new
+    seen = ledger.seen.unionByName(new.seen).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("rules"))
+    return Ledger(seen, ledger.found.unionByName(new.found))
+
+
+def update(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> Ledger:
+    """Scans docs with the ledger at path, appends what is new, and gives the whole. The first call makes the folder."""
+    spark = docs.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/seen")
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    append(scan_new(docs, load(spark, path) if there else None, id_col, text_col, rules), path)
+    return load(spark, path)
 
 
 def _listed(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -116,7 +151,7 @@ def _listed(spans: Column, rules: tuple[Rule, ...]) -> Column:
 
 def report(docs: DataFrame, ledger: Ledger, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """A row for each row of docs: id, counts and spans by start, then kind; base_sha256 is the hash of the base rules' list."""
-    per = ledger.found.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("all"))  # a blob's findings: bounded by its text
+    per = ledger.current(rules).groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("all"))  # a blob's findings: bounded by its text
     per = per.select("blob", "all", F.filter("all", lambda x: x["kind"] < BASE).alias("base"))
     counts = [F.size(F.expr(f"filter(base, x -> x.kind = {i})")).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(rules[:BASE])]
     per = per.select("blob", *counts, F.sha2(_listed(F.col("base"), rules).cast("binary"), 256).alias("base_sha256"), _listed(F.col("all"), rules).alias("spans"))
@@ -131,7 +166,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     names, plain = docs.columns, docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     at = {n: f"c{i}" for i, n in enumerate(names)}
     text = at[text_col]
-    found = scan(plain, ledger, at[id_col], text).found
+    found = scan(plain, ledger, at[id_col], text).current(RULES)
     order = Window.partitionBy("blob").orderBy("start", "end")
     apart = F.coalesce(F.col("start") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     islands = found.withColumn("new", apart.cast("int")).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -149,8 +184,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return report(docs, scan(docs))
+    """Two versions of the corpus, one after the other: half of the rows, then all. The second scan takes the first one's blobs from the ledger."""
+    docs, path = table(spark, sf_dir, "documents"), new_path(spark, "secret-ledger")
+    update(docs.where(F.xxhash64("text").bitwiseAND(F.lit(1)) == 0), path)
+    return report(docs, update(docs, path))
 
 
 def _folded(words: str) -> str:

@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 
 #: A word: no space, tab, line feed, vertical tab, form feed or carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Used only where the session names no shared folder, as in tests on one machine.
+#: Used only where all of Spark is one process (a local master) and the session names no shared folder, as in tests.
 OWN_FOLDER = "file:///tmp/checkpoints"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or OWN_FOLDER).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. A cluster has to name it."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir isn't set: executors have no folder in common")
+    return OWN_FOLDER
 
 
 def new_path(spark: SparkSession, name: str) -> str:
