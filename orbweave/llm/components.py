@@ -35,6 +35,6 @@ def components(edges: DataFrame) -> DataFrame:
         if labels is None:
             labels = picked.select("node", F.col("to").alias("root"))
         else:
-            labels = labels.join(picked.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+            labels = saved(labels.join(picked.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
         turn += 1
     return labels if labels is not None else first.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -1,22 +1,26 @@
 """SimHash near-duplicates: a fingerprint for each document, linked by a self-join of binary tries.
 
-Fingerprints within DISTANCE bits of each other agree in one of DISTANCE + 1 blocks of their bits. For each block, those
-that share its value stand below one node of a binary trie over the bits from there on. The join starts with each such
+Of DISTANCE + k blocks of bits, fingerprints within DISTANCE bits of each other agree in k. For each choice of k blocks, those
+that share these bits stand below one node of a binary trie which has them at its top. The join starts with each such
 node paired with itself and goes down pair by pair, adding up the bits in which the two paths differ; a pair is dropped
-when they exceed the budget, and when all that stands below it is linked already. Equal fingerprints are one node.
+when they exceed the budget, and when all that stands below it is linked already. Equal fingerprints are one node. k grows
+with the number of fingerprints, so that nodes stay small: 5 tables up to some 40 million, 15 up to 20 thousand million.
 
-Nodes below which more than NODE fingerprints stand are split further down: each pair of their subtrees within the budget
-becomes a unit of its own. A unit gives a spanning forest of its links, not the pairs, so a large group of near copies
+Nodes below which more than NODE fingerprints stand nevertheless are cut into blocks, and each pair of blocks becomes a unit
+of its own. A unit gives a spanning forest of its links, not the pairs, so a large group of near copies
 costs as many rows as it has members; components of all forests are formed in contraction rounds.
 
 Defined cases. Null and empty texts have no word: fingerprint zero, linked like any other. Fewer words than a shingle: all
 of them are one. Null ids: never the least of a component unless it has no other. Repeated rows: dedup() keeps one.
-Other columns are kept by dedup(), whatever their names. An empty table: no rows.
+Other columns are kept by dedup(), whatever their names. An empty table: no rows. Very long texts: hashed whole, and their
+shingles' bits are added up piece by piece.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -33,7 +37,7 @@ SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Fingerprints of a unit of the join, about, and of a trie node that is joined in one piece.
 UNIT, NODE = 20_000, 40_000
 #: Pairs that are compared at once.
-PAIRS = 1 << 21
+PAIRS = 1 << 18
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -79,10 +83,40 @@ def row_name(id_col: str, text_col: str) -> tuple:
     return F.xxhash64(id_col, text_col).alias("k1"), F.xxhash64(F.lit(1), text_col, id_col).alias("k2")
 
 
-def _blocks(distance: int) -> list[tuple[int, int]]:
-    """Offset (from the top bit) and width of each of distance + 1 blocks of 64 bits."""
-    edges = [round(i * 64 / (distance + 1)) for i in range(distance + 2)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+class Tables(NamedTuple):
+    """Tries over the bits of fingerprints, each with its own order of bits."""
+
+    #: Bits (0 is the top bit) of a table's trie from its root, 64 each.
+    order: np.ndarray
+    #: Levels above the nodes that are joined: what meets in a table agrees there.
+    depth: np.ndarray
+    #: Error budget of the 64 bits of a trie, and of whole fingerprints.
+    lead: int
+    budget: int
+
+
+def block_tables(n: int, distance: int = DISTANCE, node: int = 10_000) -> Tables:
+    """For 64-bit fingerprints. Of distance + k blocks of bits, k agree; there is a table for each choice of k. k grows with
+    the number n of fingerprints, so that about node of them share a table's top bits at most."""
+    for k in range(1, 65 - distance):
+        edges = [round(i * 64 / (distance + k)) for i in range(distance + k + 1)]
+        parts = [list(range(a, z)) for a, z in zip(edges, edges[1:], strict=False)]
+        chosen = list(combinations(range(distance + k), k))
+        depth = np.array([sum(len(parts[i]) for i in c) for c in chosen])
+        if n <= node << int(depth.min()) or len(chosen) > 200:
+            break
+    order = [[b for i in c for b in parts[i]] + [b for i, p in enumerate(parts) if i not in c for b in p] for c in chosen]
+    return Tables(np.array(order), depth, distance, distance)
+
+
+def bits_of(fps: list[bytes]) -> np.ndarray:
+    """Rows of bits of fingerprints, the top bit first."""
+    return np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1), axis=1)
+
+
+def lead_of(bits: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The 64 bits of each row in a trie's order, as numbers."""
+    return np.ascontiguousarray(np.packbits(bits[:, order], axis=1)).view(">u8")[:, 0].astype(np.uint64)
 
 
 class _Forest:
@@ -103,13 +137,18 @@ class _Forest:
                 self.label = up
 
 
-def trie_join(keys: np.ndarray, depth: int, distance: int, sides: np.ndarray | None = None) -> np.ndarray:
-    """keys: sorted distinct unsigned 64-bit numbers. Labels of the components of links at distance bits at most between
-    keys that share their first depth bits. sides: if given, only links between side 0 and side 1 have to be found."""
+def trie_join(keys: np.ndarray, depth: int, distance: int, wide: np.ndarray | None = None, budget: int = 0) -> np.ndarray:
+    """keys: sorted unsigned 64-bit numbers. Labels of the components of links at distance bits at most between keys that
+    share their first depth bits. wide: if given, whole fingerprints (rows of 64-bit words), which differ by budget bits at most."""
     n, forest = len(keys), _Forest(len(keys))
     if n < 2:
         return forest.label
-    near = np.flatnonzero(np.bitwise_count(keys[1:] ^ keys[:-1]) <= distance)
+
+    def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        found = np.flatnonzero(np.bitwise_count(keys[a] ^ keys[b]) <= distance)
+        return found if wide is None else found[np.bitwise_count(wide[a[found]] ^ wide[b[found]]).sum(1) <= budget]
+
+    near = close(np.arange(n - 1), np.arange(1, n))
     near = near[(keys[near] ^ keys[near + 1]) >> np.uint64(64 - depth) == 0] if depth else near
     forest.link(near, near + 1)
     tops = keys >> np.uint64(64 - depth) if depth else np.zeros(n, np.uint64)
@@ -141,7 +180,7 @@ def trie_join(keys: np.ndarray, depth: int, distance: int, sides: np.ndarray | N
             a, b = alo[which] + at // width, blo[which] + at % width
             keep = (a != b) & (forest.label[a] != forest.label[b])
             a, b = a[keep], b[keep]
-            keep = np.bitwise_count(keys[a] ^ keys[b]) <= distance
+            keep = close(a, b)
             forest.link(a[keep], b[keep])
             done = stop
         large = ~small
@@ -170,62 +209,63 @@ def trie_join(keys: np.ndarray, depth: int, distance: int, sides: np.ndarray | N
     return forest.label
 
 
-def _rotated(fp: np.ndarray, by: int) -> np.ndarray:
-    u = fp.view(np.uint64)
-    return u if by == 0 else (u << np.uint64(by)) | (u >> np.uint64(64 - by))
+EDGES = "u long, v long"
 
 
-EDGES = "u long, v long"
+def placed(fps: DataFrame, tables: Tables, with_fp: bool = True) -> DataFrame:
+    """fps: node (long), fp (binary, top byte first). A row for each table: t, top (the bits that agree), and node and fp if wanted."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, len(b), 2048):
+                part = b.slice(start, 2048)
+                bits = bits_of(part.column(1).to_pylist())
+                for t, (order, depth) in enumerate(zip(tables.order, tables.depth.tolist(), strict=True)):
+                    top = lead_of(bits, order) >> np.uint64(64 - depth) if depth else np.zeros(len(part), np.uint64)
+                    out = [pa.array(np.full(len(part), t, np.int32)), pa.array(top.view(np.int64))]
+                    yield pa.RecordBatch.from_arrays([*out, *part.columns] if with_fp else out, names=["t", "top", "node", "fp"] if with_fp else ["t", "top"])
 
-def links(fps: DataFrame, distance: int = DISTANCE, unit: int = UNIT, node: int = NODE) -> DataFrame:
-    """fps: fp, distinct longs. Edges u, v: spanning forests of all links at distance bits at most."""
-    blocks = _blocks(distance)
+    return fps.select("node", "fp").mapInArrow(run, "t int, top long, node long, fp binary" if with_fp else "t int, top long")
+
+
+def trie_links(fps: DataFrame, tables: Tables, unit: int = UNIT, node: int = NODE) -> DataFrame:
+    """fps: node, fp, one row for each fingerprint. Edges u, v: spanning forests of all links that a table finds."""
     n = fps.count()
-    turned = [F.when(F.lit(a) == 0, F.col("fp")).otherwise(F.shiftleft("fp", a).bitwiseOR(F.shiftrightunsigned("fp", (64 - a) % 64))) for a, _ in blocks]
-    tops = [F.struct(F.lit(i).alias("t"), F.shiftrightunsigned(turned[i], 64 - w).alias("top"), turned[i].alias("key")) for i, (_, w) in enumerate(blocks)]
-    placed = fps.select("fp", F.explode(F.array(*tops)).alias("p")).select("fp", "p.*")
-    # Nodes that are too large are split at the next bits; a task is then a pair of subtrees within the budget.
-    sizes = placed.groupBy("t", "top").agg(F.count("*").alias("n")).where(F.col("n") > node)
-    large = {(r["t"], r["top"]): min(10, max(1, int(np.ceil(np.log2(r["n"] / node))) + 1)) for r in sizes.collect()} if n > node else {}
-    units = max(1, -(-n // unit))
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out, size = [rows.assign(i=0, j=0)], np.zeros(len(rows), int)
-            if large:
-                size = np.array([large.get(x, 0) for x in zip(rows["t"], rows["top"], strict=True)])
-                out = [rows[size == 0].assign(i=0, j=0)]
-            for s in set(size.tolist()) - {0}:
-                own = rows[size == s]
-                width = np.array([w for _, w in blocks])[own["t"]]
-                sub = ((own["key"].to_numpy().view(np.uint64) << width.astype(np.uint64)) >> np.uint64(64 - s)).astype(int)
-                for flip in range(1 << s):
-                    if flip.bit_count() <= distance:
-                        other = sub ^ flip
-                        out.append(own.assign(i=np.minimum(sub, other), j=np.maximum(sub, other)))
-            yield pd.concat(out)[["fp", "t", "top", "i", "j"]]
+    rows = placed(fps, tables).withColumns({"i": F.lit(0), "j": F.lit(0)})
+    large = saved(placed(fps, tables, False).groupBy("t", "top").agg(F.count("*").alias("members")).where(F.col("members") > node), "simhash-large") if n > node else None
+    if large is not None and not large.isEmpty():
+        # A node that is too large is cut into blocks of its members; each pair of blocks is joined by itself.
+        own = placed(fps, tables).join(large, ["t", "top"], "left").withColumn("blocks", F.ceil(F.coalesce("members", F.lit(1)) / node).cast("int"))
+        own = own.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = own.select("t", "top", "node", "fp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    per = max(1, -(-n // unit))
 
     def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = []
+        found = [pd.DataFrame({"u": [], "v": []}, dtype="int64")]
         for (t, _, _), own in rows.groupby(["t", "i", "j"], sort=False):
-            a, width = blocks[t]
-            fp = np.unique(own["fp"].to_numpy())
-            turned = _rotated(fp, a)
-            order = np.argsort(turned)
-            label = trie_join(turned[order], width, distance)
-            fp = fp[order]
-            least = fp.copy()
-            np.minimum.at(least, label, fp)
+            bits, node = bits_of(own["fp"].tolist()), own["node"].to_numpy()
+            lead = lead_of(bits, tables.order[t])
+            wide = np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.uint64) if bits.shape[1] > 64 else None
+            order = np.argsort(lead, kind="stable")
+            label = trie_join(lead[order], int(tables.depth[t]), tables.lead, None if wide is None else wide[order], tables.budget)
+            node = node[order]
+            least = node.copy()
+            np.minimum.at(least, label, node)
             to = least[label]
-            found.append(pd.DataFrame({"u": fp, "v": to})[fp != to])
-        return pd.concat(found) if found else pd.DataFrame({"u": [], "v": []}, dtype="int64")
+            found.append(pd.DataFrame({"u": node, "v": to})[node != to])
+        return pd.concat(found)
 
-    rows = placed.mapInPandas(split, "fp long, t int, top long, i int, j int") if large else placed.select("fp", "t", "top", F.lit(0).alias("i"), F.lit(0).alias("j"))
-    unit_of = F.pmod(F.xxhash64("t", "top", "i", "j"), F.lit(units * len(blocks)))
+    unit_of = F.col("t") * per + F.pmod(F.xxhash64("top", "i", "j"), F.lit(per))
     return rows.groupBy(unit_of.alias("unit")).applyInPandas(join, EDGES)
 
 
+def links(fps: DataFrame, distance: int = DISTANCE, unit: int = UNIT, node: int = NODE) -> DataFrame:
+    """fps: fp, distinct longs. Edges u, v: spanning forests of all links at distance bits at most."""
+    n = fps.count()
+    whole = fps.select(F.col("fp").alias("node"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("fp"))
+    return trie_links(whole, block_tables(n, distance, max(1, node // 4)), unit, node)
+
+
 def classes(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """fps: id, k1, k2, fp. fp, rep: for each fingerprint the first row of its component, as a struct (none, id, k1, k2)."""
     rep = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("rep")

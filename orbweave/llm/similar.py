@@ -1,12 +1,18 @@
-"""Near-duplicates by the Jaccard similarity of their sets of word shingles, for the pipeline.
+"""SimHash near-duplicates by the similarity of shingle sets: wide fingerprints for candidates, and exact checks.
 
-Documents of equal shingle sets are one class. Candidates are classes that share one of BANDS bands of ROWS MinHashes, which a
-pair at SIMILARITY misses with probability (1 - SIMILARITY ** ROWS) ** BANDS, here 1.1e-6. Each candidate is checked exactly on
-its texts, so no link is a guess. No bucket is capped: its least and greatest class are compared with all others first, which
-links a tight group by pairs as many as its members; then all pairs that aren't yet in one component are compared.
+Documents of equal sets of SHINGLE-word shingles are one class. A class has a SimHash of WIDTH bits, which at a Jaccard
+similarity of SIMILARITY or more differ with a probability of acos(2 s / (1 + s)) / pi each (0.152 at 0.8), and of unrelated
+texts in half of them. Tables of tries over random orders of the bits (simhash.py) join what agrees in a table's top bits
+within the error budget. Depth and number of the tables grow with the classes, so that about SHARE of them stand below a node,
+and a pair right at SIMILARITY is missed with a probability of about MISS (less above; more if sets are of a few shingles).
+
+Components of these links are groups of candidates, which are checked exactly on their shingle sets: a group of one block's size
+in one task; in a larger one, first each block by itself and with PIVOTS classes of the group, then what isn't yet in the
+group's largest component with all others, block by block. Rows are never pairs: tasks give spanning forests.
 
 Defined cases. Null and empty texts have no shingle and are one class. Fewer words than a shingle: all of them are one. Null
-ids: never the least of a component unless it has no other. Repeated rows: one is kept. Other columns are kept.
+ids: never the least of a component unless it has no other. Repeated rows: one is kept. Other columns are kept. An empty
+table: no rows. Very long texts: their whole sets are compared, a block of them at a time.
 """
 
 from __future__ import annotations
@@ -23,14 +29,16 @@ from pyspark.sql import types as T
 
 from .components import components
 from .shared import saved
-from .simhash import row_name, shingle_hashes
+from .simhash import EDGES, Tables, _Forest, row_name, shingle_hashes, trie_links
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 26, 4
-_RNG = np.random.default_rng(42)
-MULTIPLY, ADD, MIX = (_RNG.integers(0, 2**64, n, np.uint64) | np.uint64(odd) for n, odd in ((BANDS * ROWS, 1), (BANDS * ROWS, 0), (ROWS, 1)))
-#: Shingles hashed at once, shingles that a task keeps while it checks pairs, and rows of a unit of the pairs' last round.
-CHUNK, KEPT, UNIT = 4096, 1 << 22, 20_000
+#: Bits of a fingerprint, classes below a node of a trie, the chance of a miss at SIMILARITY, and standard deviations of the error budgets.
+WIDTH, SHARE, MISS, WITHIN, SEED = 256, 64, 1e-4, 3.7, 11
+#: Classes and shingles of a block, about; classes that all blocks of a large group are compared with.
+BLOCK, WEIGHT, PIVOTS = 512, 300_000, 8
+#: Shingles that are compared at once.
+COLUMNS = 4096
+MIX1, MIX2, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
 
 
 def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -38,97 +46,125 @@ def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
     return np.unique(shingle_hashes(text, k))
 
 
-def bands(own: np.ndarray) -> np.ndarray:
-    """BANDS numbers of a set of hashes, each with its band mixed in; none for the empty set."""
-    if not len(own):
-        return np.zeros(0, np.int64)
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for i in range(0, len(own), CHUNK):
-        least = np.minimum(least, (own[i : i + CHUNK, None] * MULTIPLY + ADD).min(0))
-    least ^= least >> np.uint64(29)
-    return ((least.reshape(BANDS, ROWS) * MIX).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * ADD[0]).view(np.int64)
+def fingerprint(own: np.ndarray, width: int = WIDTH) -> bytes:
+    """SimHash of a set of 64-bit hashes, each mixed into width bits."""
+    set_bits = np.zeros(width, np.int64)
+    for start in range(0, len(own), 255):
+        part = own[start : start + 255, None] + np.arange(width // 64, dtype=np.uint64) * np.uint64(STEP)
+        part = (part ^ part >> np.uint64(30)) * MIX1
+        part = (part ^ part >> np.uint64(27)) * MIX2
+        part ^= part >> np.uint64(31)
+        set_bits += np.add.reduce(np.unpackbits(part.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(2 * set_bits > len(own)).tobytes()
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sorted sets; 1 for two empty ones."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+def wide_tables(n: int, least: float = SIMILARITY, width: int = WIDTH) -> Tables:
+    """Tables for n classes."""
+    differ = np.arccos(2 * least / (1 + least)) / np.pi
+    depth = int(np.clip(np.ceil(np.log2(max(n, 1) / SHARE)), 0, 40))
+    meet = (1 - differ) ** depth
+    count = int(np.ceil(np.log(MISS) / np.log1p(-meet))) if meet < 1 else 1
+    within = lambda bits: int(np.ceil(differ * bits + WITHIN * np.sqrt(differ * (1 - differ) * bits)))
+    order = np.array([np.random.default_rng([SEED, t]).permutation(width)[:64] for t in range(count)])
+    return Tables(order, np.full(count, depth), within(64 - depth), within(width))
 
 
 def sets(docs: DataFrame, id_col: str, text_col: str, k: int = SHINGLE) -> DataFrame:
-    """id, k1 and k2 (the row's name), c (the hash of its shingle set), n (the set's size), bands."""
+    """id, k1 and k2 (the row's name), c (the hash of its shingle set), n (the set's size), fp."""
     longs = [T.StructField(x, T.LongType()) for x in ("k1", "k2", "c", "n")]
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *longs, T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *longs, T.StructField("fp", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [shingles(t.as_py(), k) for t in b.column(3)]
-            c = np.array([xxhash.xxh64_intdigest(x.tobytes(), 1) for x in own], np.uint64).view(np.int64)
-            columns = [pa.array(c), pa.array([len(x) for x in own], pa.int64()), pa.array([bands(x) for x in own], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *columns], names=schema.names)
+            c, n, fp = np.zeros(len(b), np.uint64), np.zeros(len(b), np.int64), []
+            for i, text in enumerate(b.column(3)):
+                own = shingles(text.as_py(), k)
+                c[i], n[i] = xxhash.xxh64_intdigest(own.tobytes(), 1), len(own)
+                fp.append(fingerprint(own))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(c.view(np.int64)), pa.array(n), pa.array(fp, pa.binary())], names=schema.names)
 
     return docs.select(F.col(id_col).alias("id"), *row_name(id_col, text_col), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def _checked(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
-    """pairs: u, v. Those whose texts are similar."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
-        size = 0
-        for b in batches:
-            u, v, out = b.column(0).to_pylist(), b.column(1).to_pylist(), []
-            for i in range(len(u)):
-                for c, column in ((u[i], 2), (v[i], 3)):
-                    if c not in known:
-                        own = shingles(b.column(column)[i].as_py(), k)
-                        if known and size + len(own) > KEPT:
-                            other = u[i] if c == v[i] else None
-                            known = {other: known[other]} if other in known else {}
-                            size = sum(map(len, known.values()))
-                        known[c] = own
-                        size += len(own)
-                if similarity(known[u[i]], known[v[i]]) >= least:
-                    out.append(i)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(out, pa.int64())), b.column(1).take(pa.array(out, pa.int64()))], names=["u", "v"])
-
-    of = lambda c: texts.select(F.col("c").alias(c), F.col("text").alias(f"{c}_text"))
-    first = saved(pairs.join(of("v"), "v"), "similar-pairs")  # so that a pivot's rows can be split in the join
-    return saved(first.join(of("u"), "u").select("u", "v", "u_text", "v_text").mapInArrow(run, "u long, v long"), "similar-edges")
-
-
-def links(own: DataFrame, texts_of, k: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
-    """own: c, n, bands, one row for each class. Edges u, v between similar classes, whose components are those of all links."""
-    placed = own.select("c", F.explode("bands").alias("h"))
-    ends = saved(placed.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high"), "similar-ends")
-    shared = saved(placed.join(ends, "h").join(own.select("c", "n"), "c"), "similar-shared")
-    texts = saved(texts_of(shared.select("c").distinct()), "similar-texts")
-    sizes = shared.select(F.col("c").alias("to"), F.col("n").alias("m")).distinct()
-    stars = shared.select("c", "n", F.explode(F.array("low", "high")).alias("to")).where("c <> to").distinct().join(sizes, "to")
-    stars = stars.where(F.least("n", "m") >= F.lit(least - 1e-9) * F.greatest("n", "m"))
-    stars = saved(stars.select(F.least("c", "to").alias("u"), F.greatest("c", "to").alias("v")).distinct(), "similar-stars")
-    near = _checked(stars, texts, k, least)
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common members of each set of a and each of b."""
+    found = np.zeros((len(a), len(b)), np.float32)
+    ids = [np.concatenate([np.zeros(0, np.uint64), *x]) for x in (a, b)]
+    both = np.intersect1d(*ids)
+    at = []
+    for x, own in zip((a, b), ids, strict=True):
+        column = np.searchsorted(both, own)
+        kept = np.flatnonzero((column < len(both)) & (both[np.minimum(column, len(both) - 1)] == own)) if len(both) else np.zeros(0, int)
+        order = kept[np.argsort(column[kept], kind="stable")]
+        at.append((np.repeat(np.arange(len(x)), [len(y) for y in x])[order], column[order]))
+    for start in range(0, len(both), COLUMNS):
+        dense = []
+        for (row, column), x in zip(at, (a, b), strict=True):
+            one = np.zeros((len(x), COLUMNS), np.float32)
+            p, q = np.searchsorted(column, [start, start + COLUMNS])
+            one[row[p:q], column[p:q] - start] = 1
+            dense.append(one)
+        found += dense[0] @ dense[1].T
+    return found
+
+
+def similar(a: list[np.ndarray], b: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of sets with a Jaccard similarity of least or more; two empty sets are alike."""
+    common = overlaps(a, b).astype(float)
+    total = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None] - common
+    return np.nonzero(common >= least * total - 1e-9)
+
+
+def _forest(c: np.ndarray, p: np.ndarray, q: np.ndarray) -> pd.DataFrame:
+    """Edges of a spanning forest of links between places of c."""
+    forest = _Forest(len(c))
+    forest.link(p, q)
+    to = c[forest.label]
+    return pd.DataFrame({"u": c, "v": to})[c != to]
+
+
+def exact_links(members: DataFrame, least: float = SIMILARITY, block: int = BLOCK, weight: int = WEIGHT) -> DataFrame:
+    """members: group, c, n, own (the sorted set, as bytes), one row for each class. Edges u, v between similar classes of a group, whose components are those of all such links."""
+    none = pd.DataFrame({"u": [], "v": []}, dtype="int64")
+    salted = lambda i: F.min(F.struct(F.xxhash64(F.lit(i), "c"), "c")).getField("c")
+    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / weight)).cast("int")
+    groups = saved(members.groupBy("group").agg(blocks.alias("blocks"), F.sum("n").alias("weight"), F.array_distinct(F.array(*map(salted, range(PIVOTS)))).alias("pivots")), "similar-groups")
+    units = max(1, -(-(groups.where("blocks = 1").agg(F.sum("weight")).first()[0] or 0) // weight))
+    placed = members.join(groups, "group").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    everywhere = F.when((F.col("blocks") > 1) & F.array_contains("pivots", F.col("c")), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    unit = F.when(F.col("blocks") > 1, F.xxhash64("group", "in")).otherwise(F.pmod(F.xxhash64("group"), F.lit(units)))
+
+    def first(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        found = [none]
+        for _, part in rows.groupby(["group", "in"], sort=False):
+            own, c = [np.frombuffer(x, np.uint64) for x in part["own"]], part["c"].to_numpy()
+            found.append(_forest(c, *similar(own, own, least)))
+        return pd.concat(found)
+
+    near = saved(placed.withColumn("in", F.explode(everywhere)).select(unit.alias("unit"), "group", "in", "c", "own").groupBy("unit").applyInPandas(first, EDGES), "similar-first")
+    large = groups.where("blocks > 1").select("group", "blocks")
+    if large.isEmpty():
+        return near
     roots = components(near).select(F.col("node").alias("c"), "root")
-    rooted = saved(shared.select("h", "c", "n").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c")), "similar-rooted")
-    apart = rooted.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("h")
-    rest = saved(rooted.join(apart, "h"), "similar-apart")
-    units = max(1, -(-rest.count() // UNIT)) * 8
-
-    def run(key: tuple, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        found = []
-        for _, part in rows.groupby("h", sort=False):
-            part = part.sort_values("root")
-            c, n, root = (part[x].to_numpy() for x in ("c", "n", "root"))
-            past = np.searchsorted(root, root, "right")
-            for i in range(len(c)):
-                j = np.arange(past[i], len(c))
-                j = j[np.minimum(n[i], n[j]) >= (least - 1e-9) * np.maximum(n[i], n[j])]
-                if len(j):
-                    found.append(pd.DataFrame({"u": np.minimum(c[i], c[j]), "v": np.maximum(c[i], c[j])}))
-        return pd.concat(found).drop_duplicates() if found else pd.DataFrame({"u": [], "v": []}, dtype="int64")
-
-    open_ = rest.groupBy(F.pmod(F.xxhash64("h"), F.lit(units)).alias("unit")).applyInPandas(run, "u long, v long").distinct().join(stars, ["u", "v"], "left_anti")
-    return near.unionByName(_checked(saved(open_, "similar-open"), texts, k, least))
+    rooted = saved(members.join(large, "group").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c")), "similar-rooted")
+    main = rooted.groupBy("group", "root").agg(F.count("*").alias("size")).groupBy("group").agg(F.max(F.struct("size", "root")).getField("root").alias("main"))
+    left = saved(rooted.join(saved(main, "similar-main"), "group").where("root <> main").drop("main"), "similar-left")
+    parts = saved(left.groupBy("group").agg(blocks.alias("parts")), "similar-parts")
+    a = left.drop("blocks").join(large, "group").join(parts, "group").withColumns({"i": F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "side": F.lit(0)})
+    b = rooted.join(parts, "group").withColumns({"i": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "j": F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"), "side": F.lit(1)})
+    columns = ["group", "i", "j", "side", "c", "root", "own"]
+
+    def rest(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        own, c, root, side = [np.frombuffer(x, np.uint64) for x in rows["own"]], rows["c"].to_numpy(), rows["root"].to_numpy(), rows["side"].to_numpy()
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(x) or not len(y):
+            return none
+        p, q = similar([own[i] for i in x], [own[i] for i in y], least)
+        p, q = x[p], y[q]
+        new = root[p] != root[q]
+        return _forest(c, p[new], q[new])
+
+    return near.unionByName(saved(a.select(columns).unionByName(b.select(columns)).groupBy("group", "i", "j").applyInPandas(rest, EDGES), "similar-rest"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
@@ -138,13 +174,20 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     named = plain.select("*", *row_name(at[id_col], at[text_col]))
     found = saved(sets(plain, at[id_col], at[text_col], k), "similar-sets")
     rep = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("rep")
-    own = saved(found.groupBy("c").agg(rep, F.min("n").alias("n"), F.min("bands").alias("bands")), "similar-classes")
+    own = saved(found.groupBy("c").agg(rep, F.min("n").alias("n"), F.min("fp").alias("fp")), "similar-classes")
+    some = own.where("n > 0").select(F.col("c").alias("node"), "fp")
+    group = components(trie_links(some, wide_tables(some.count(), least))).select(F.col("node").alias("c"), F.col("root").alias("group"))
+    reps = saved(own.join(group, "c").select("group", "c", "n", F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2")), "similar-candidates")
 
-    def texts_of(wanted: DataFrame) -> DataFrame:
-        reps = own.join(wanted, "c", "left_semi").select("c", F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2"))
-        return named.select("k1", "k2", F.col(at[text_col]).alias("text")).join(reps, ["k1", "k2"]).groupBy("c").agg(F.min("text").alias("text"))
+    def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, len(b), 512):
+                part = b.slice(start, 512)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([shingles(t.as_py(), k).tobytes() for t in part.column(3)], pa.binary())], names=["group", "c", "n", "own"])
 
-    roots = components(links(own.select("c", "n", "bands"), texts_of, k, least)).select(F.col("node").alias("c"), "root")
+    members = named.select("k1", "k2", F.col(at[text_col]).alias("text")).join(reps, ["k1", "k2"]).select("group", "c", "n", "text").mapInArrow(as_sets, "group long, c long, n long, own binary")
+    members = saved(members.dropDuplicates(["c"]), "similar-members")
+    roots = components(exact_links(members, least)).select(F.col("node").alias("c"), "root")
     firsts = own.join(roots, "c", "left").groupBy(F.coalesce("root", "c").alias("root")).agg(F.min("rep").alias("rep"))
     kept = firsts.select(F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2"))
     once = Window.partitionBy("k1", "k2").orderBy("k1", "k2")

@@ -8,10 +8,11 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from orbweave.llm import packing, quality, secrets, simhash
+from orbweave.llm import packing, quality, secrets
 
 from .odd import DOCS, documents, empty
-from .test_near_duplicates import brute_components, brute_fingerprint
+from .test_near_duplicates import brute_components
+from .test_similar import brute_set, jaccard
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -38,7 +39,7 @@ def test_stages(spark, tmp_path):
     assert sorted(r["doc_id"] for r in after) == sorted(k for k, v in verdict.items() if v)
     assert len(after) >= 0.6 * len(before)
     before, after, _ = stages["near_duplicates"]
-    root = brute_components({r["doc_id"]: brute_fingerprint(r["text"]) for r in before}, lambda a, b: (a ^ b).bit_count() <= simhash.DISTANCE)
+    root = brute_components({r["doc_id"]: brute_set(r["text"]) for r in before}, lambda a, b: jaccard(a, b) >= 0.8)
     least = {}
     for k, r in root.items():
         least[r] = min(least.get(r, k), k)
