@@ -42,14 +42,3 @@ def n_words(text: str | Column) -> Column:
     """Words of a text as a long; 0 for null."""
     text = F.col(text) if isinstance(text, str) else text
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def scratch(names: list[str], *wanted: str) -> list[str]:
-    """Column names like the wanted ones that clash with none of names, whatever their case."""
-    taken, out = {n.lower() for n in names}, []
-    for w in wanted:
-        while w.lower() in taken:
-            w += "_"
-        taken.add(w.lower())
-        out.append(w)
-    return out
