@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from orbweave.llm import lm, quality, secrets
@@ -239,7 +240,7 @@ def test_base_rules_equal_brute_force(spark):
 
 def test_rules_on_lines_and_repeats():
     for text in ("a b c a b c", "x y\n\n x y\nx y\n", "a a a a", "a a a", "# * $ <p> | & %", "b\x0bc\x0cd\re", "one\ntwo\none\n" * 30, "é ü ö"):
-        assert quality.judge(text, np.zeros(quality.WORDS + quality.SHAPES), -np.inf)[:6] == brute_rules(text), text
+        assert quality.judge(text, np.zeros(quality.SIZE), -np.inf)[:6] == brute_rules(text), text
 
 
 def test_without_labels_or_documents(spark):
@@ -249,6 +250,60 @@ def test_without_labels_or_documents(spark):
     assert quality.keep(empty(spark), none).count() == 0 and quality.report(empty(spark), none).count() == 0
 
 
+def brute_features(text):
+    """Word n-grams and pairs of shapes, as names."""
+    words, m = [w.encode() for w in WORD.findall(text or "")], 2**64 - 1
+    k1, k2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+    codes, out = [], []
+    for w in words:
+        kinds = "".join("a" if c >= 128 or chr(c).islower() else "A" if chr(c).isupper() else "9" if chr(c).isdigit() else chr(c) for c in w)
+        shape = "".join(c for i, c in enumerate(kinds) if not i or c != kinds[i - 1])
+        codes.append(xxhash.xxh64_intdigest(w) // 256 * 256 + xxhash.xxh32_intdigest(shape.encode()) % 256)
+    fold = lambda x: ((x ^ x >> 29) * k1 & m) >> 49
+    for i, c in enumerate(codes):
+        out.append(("word", c // 256 % 2**15))
+        if i:
+            b = codes[i - 1]
+            two = (b * k1 + c) & m
+            out += [("shapes", ((b % 256 * 251 + c % 256) * 2 + (b == c)) % 2**14), ("two", fold(two))]
+        if i > 1:
+            three = (((codes[i - 2] * k1 + codes[i - 1]) & m) * k2 + c) & m
+            out.append(("three", fold(three)))
+    return out
+
+
+def test_verdicts_equal_brute_force(spark):
+    """The likelihood ratio, its threshold and what is kept, from counts of named features."""
+    rng = np.random.default_rng(8)
+    good, bad = [f"good{i}" for i in range(300)], [f"BAD{i}!" for i in range(300)]
+    rows = [(i, " ".join(rng.choice((good, bad)[i % 2], 70)) + " é 7" * (i % 3), "en", "s", 0) for i in range(120)]
+    rows += [(200, "too short", "en", "s", 0), (201, None, None, None, None)]
+    labels = labelled(spark, [(i, 1 - i % 2, 0) for i in range(90)])
+    docs = spark.createDataFrame(rows, DOCS)
+    chosen = {r["_id"]: (r["_quality"], r["_fits"]) for r in quality.labelled(labels).collect()}
+    raw, target = Counter(), Counter()
+    for i, t, *_ in rows:
+        raw.update(brute_features(t))
+        if chosen.get(i) == (1, True):
+            target.update(brute_features(t))
+    size, n, m = 2**15 * 3 + 2**14, sum(raw.values()), sum(target.values())
+    p = lambda f: (raw[f] + 1) / (n + size)
+    score = {}
+    for i, t, *_ in rows:
+        found = brute_features(t)
+        score[i] = sum(math.log((target[f] + size * p(f)) / (m + size) / p(f)) for f in found) / len(found) if found else 0.0
+    told = [(math.floor(score[i] * 100), q) for i, (q, fits) in chosen.items() if not fits]
+    ones, zeros = ([b for b, q in told if q == k] for k in (1, 0))
+    assert ones and zeros and target
+    gain = {e: round(sum(b < e for b in zeros) / len(zeros) - sum(b < e for b in ones) / len(ones), 12) for e in range(-800, 801)}
+    best = [e for e in gain if gain[e] == max(gain.values())]
+    threshold = (best[0] + best[-1] + 1600) // 2 / 100 - 8
+    got = quality.report(docs, labels).collect()
+    assert {r["doc_id"]: r["score"] for r in got} == pytest.approx(score, abs=1e-9)
+    assert {r["doc_id"]: r["kept"] for r in got} == {i: not brute_rules(t)[-1] and score[i] >= threshold - 1e-9 for i, t, *_ in rows}
+    assert {r["kept"] for r in got} == {True, False}
+
+
 def test_held_out_accuracy(spark):
     """Fitted on half of the labels, the verdict agrees with the other half."""
     folder = "/root/testdata/sf0.1"
