@@ -40,11 +40,13 @@ class Rule(NamedTuple):
         return f"{self.kind}@{self.version}"
 
 
-#: A private key goes to its END line if no other line of dashes comes first (up to 200 single dashes between), else over the
-#: headers and base64 lines that follow; of these, a last one may be short.
+#: A private key goes to its END line if no other line of dashes comes first (up to 200 runs of up to four dashes between), else over the
+#: headers and base64 lines that follow; of these, a last one may be short, which the line
+#: break after it tells; a span ends before a match's last line breaks. The SQL engine knows neither possessive repeats nor looking ahead, so no pattern has them.
 KEY_BEGIN = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
-KEY_TO_END = r"[^-]*+(?:-(?!----)[^-]*+){0,200}-----END [A-Z ]{0,40}PRIVATE KEY-----"
-KEY_LINES = r"(?:\s+[A-Z][A-Za-z-]{2,40}:\x20[^\r\n]*+){0,9}(?:\s+[A-Za-z0-9+/]{16,}+={0,2}){1,1000}(?:\r?\n[A-Za-z0-9+/]{1,15}={0,2}(?![^\r\n]))?"
+KEY_TO_END = r"[^-]*(?:-{1,4}[^-]+){0,200}-----END [A-Z ]{0,40}PRIVATE KEY-----"
+LINES = "{1,1000}"
+KEY_LINES = r"(?:\s+[A-Z][A-Za-z-]{2,40}:\x20[^\r\n]*){0,9}(?:\s+[A-Za-z0-9+/]{16,}={0,2})" + LINES + r"(?:\r?\n[A-Za-z0-9+/]{1,15}={0,2}(?:\r?\n|\z))?"
 #: The first BASE rules are the agreed ones; the others only add spans.
 RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 2, 8),
@@ -55,7 +57,7 @@ RULES = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("private_key", KEY_BEGIN + r"(?:" + KEY_TO_END + r"|" + KEY_LINES + r")?", 2),
+    Rule("private_key", KEY_BEGIN + r"(?:" + KEY_TO_END + r"|" + KEY_LINES + r")?", 3),
 )
 BASE = 3
 MARK = "[REDACTED]"
@@ -96,13 +98,14 @@ def _blob(text: str) -> Column:
 
 
 def _matches(text: Column, rule: Rule, number: int) -> Column:
-    """Null without a match, else kind and an array of (before, length, ok)."""
+    """Null without a match, else kind and an array of (before, length, ok, tail); tail: line breaks at a match's end."""
     pattern = F.lit(rule.pattern)
     size = lambda x: F.char_length(x).cast("long")
     before = F.transform(F.split(text, rule.pattern, -1), size)
-    length = F.transform(F.regexp_extract_all(text, pattern, 0), size)
+    whole = F.regexp_extract_all(text, pattern, 0)
+    length, tail = F.transform(whole, size), F.transform(whole, lambda x: size(x) - size(F.rtrim(x, F.lit("\r\n"))))
     ok = F.transform(F.regexp_extract_all(text, pattern, rule.group), lambda x: F.char_length(x) >= rule.least) if rule.group else F.transform(length, lambda x: x >= rule.least)
-    return F.when(text.rlike(rule.pattern), F.struct(F.lit(number).alias("kind"), F.arrays_zip(before.alias("before"), length.alias("length"), ok.alias("ok")).alias("m")))
+    return F.when(text.rlike(rule.pattern), F.struct(F.lit(number).alias("kind"), F.arrays_zip(before.alias("before"), length.alias("length"), ok.alias("ok"), tail.alias("tail")).alias("m")))
 
 
 def scan_new(docs: DataFrame, ledger: Ledger | None = None, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> Ledger:
@@ -122,7 +125,7 @@ def scan_new(docs: DataFrame, ledger: Ledger | None = None, id_col: str = "doc_i
     hits = unseen.select("blob", F.explode(F.array_compact(each)).alias("h")).select("blob", "h.kind", F.posexplode("h.m").alias("nth", "m")).where("m.length is not null")
     running = Window.partitionBy("blob", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     hits = hits.distinct().withColumn("end", F.sum(F.expr("m.before + m.length")).over(running)).where("m.ok")  # a blob may be met twice, if rows repeat
-    found = hits.select("blob", F.element_at(every, F.col("kind") + 1).alias("rule"), F.expr("end - m.length").alias("start"), "end")
+    found = hits.select("blob", F.element_at(every, F.col("kind") + 1).alias("rule"), F.expr("end - m.length").alias("start"), F.expr("end - m.tail").alias("end"))
     return Ledger(blobs.select("blob", F.col("todo").alias("rules")), saved(found, "secret-findings"))
 
 
@@ -195,7 +198,8 @@ def _folded(words: str) -> str:
 
 
 def _oracle() -> str:
-    patterns = [r.pattern.replace("(?i:password|passwd|secret|token|api_?key)", _folded("password|passwd|secret|token|api_?key")).replace("'", "''") for r in RULES]
+    # The SQL engine bounds nested repeats, so there a key's lines aren't counted.
+    patterns = [r.pattern.replace(LINES, "+").replace("(?i:password|passwd|secret|token|api_?key)", _folded("password|passwd|secret|token|api_?key")).replace("'", "''") for r in RULES]
     each = "\nunion all\n".join(
         f"select doc_id, {i} as kind, '{r.kind}' as name, unnest(string_split_regex(text, '{p}')) as piece, unnest(regexp_extract_all(text, '{p}')) as hit, unnest(regexp_extract_all(text, '{p}', {r.group})) as part, generate_subscripts(string_split_regex(text, '{p}'), 1) as nth, {r.least} as least from d where regexp_matches(text, '{p}')"
         for i, (r, p) in enumerate(zip(RULES, patterns, strict=True))
@@ -204,7 +208,7 @@ def _oracle() -> str:
 with d as (select doc_id, coalesce(text, '') as text from documents),
 h as ({each}),
 s as (select *, cast(sum(length(piece) + length(hit)) over (partition by doc_id, kind order by nth) as bigint) as stop from h where hit is not null),
-f as (select doc_id, kind, name || ':' || (stop - length(hit)) || ':' || stop as span, stop - length(hit) as start from s where length(part) >= least),
+f as (select doc_id, kind, name || ':' || (stop - length(hit)) || ':' || (stop - length(hit) + length(rtrim(hit, chr(13) || chr(10)))) as span, stop - length(hit) as start from s where length(part) >= least),
 a as (
   select doc_id, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex,
          string_agg(span, ',' order by start, kind) filter (kind < {BASE}) as base, string_agg(span, ',' order by start, kind) as spans
