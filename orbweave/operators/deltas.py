@@ -32,11 +32,21 @@ def intra(rows: DataFrame, q: str = "q", to: str = "delta", dims: int = 3) -> Da
 
 
 def undo_intra(rows: DataFrame, delta: str = "delta", to: str = "q", dims: int = 3) -> DataFrame:
-    """Running sums by dimension, in one pass over the array."""
-    # The list grows by a dimension's last sum and the next difference.
-    zero = F.array().cast("array<bigint>")
+    """Running sums by dimension, in two levels: inside pieces of about the root of the array's length, and over the pieces'
+    last sums. A list that grows by one is copied in each step, so only short ones grow."""
+    none, nothing = F.array().cast("array<bigint>"), F.array().cast("array<array<bigint>>")
+    once = lambda c: F.explode(F.array(c))  # noqa: E731  # a row for each row: what is exploded is computed once, not in each place that uses it
+    rows = rows.withColumn("_all", once(F.struct(F.col(delta).alias("d"), (F.ceil(F.sqrt(F.size(delta) / dims)) * dims).cast("int").alias("piece"))))
+    every, piece = F.col("_all.d"), F.col("_all.piece")
     step = lambda out, d: F.array_append(out, F.when(F.size(out) < dims, d).otherwise(d + F.coalesce(F.get(out, F.size(out) - dims), F.lit(0))))
-    return rows.withColumn(to, F.aggregate(delta, zero, step))
+    add = lambda a, b: F.transform(a, lambda x, i: x + F.get(b, i))
+    starts = F.sequence(F.lit(0), F.floor((F.size(every) - 1) / piece).cast("int"))
+    sums = F.transform(starts, lambda i: F.aggregate(F.slice(every, i * piece + 1, piece), none, step))
+    done = rows.withColumn("_sums", once(F.when(F.size(every) > 0, sums).when(every.isNotNull(), nothing)))
+    last = lambda x: F.slice(x, -dims, dims)
+    before = F.aggregate(F.slice("_sums", 1, F.size("_sums") - 1), F.array(F.array_repeat(F.lit(0).cast("long"), dims)), lambda out, x: F.array_append(out, add(last(x), F.element_at(out, -1))))
+    whole = F.flatten(F.zip_with("_sums", "_before", lambda x, b: F.transform(x, lambda v, i: v + F.get(b, i % dims))))
+    return done.withColumn("_before", once(F.when(F.size("_sums") > 0, before).when(F.col("_sums").isNotNull(), nothing))).withColumn(to, whole).drop("_all", "_sums", "_before")
 
 
 def undo_inter(rows: DataFrame, delta: str = "delta") -> DataFrame:

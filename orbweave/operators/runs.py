@@ -14,11 +14,15 @@ def runs(rows: DataFrame, by: str = "frame_set", at: str = "frame", sym: str = "
 
 
 def joined_runs(parts: DataFrame, by: str = "frame_set", sym: str = "sym") -> DataFrame:
-    """Runs of runs(), with those that go on in the next group joined: a second, small window over runs only."""
+    """Runs of runs(), with those that go on in the next group joined. Only a group's first and last runs can: the window over
+    all groups has two rows for each at most."""
+    ends = parts.groupBy(by).agg(F.min("start").alias("_low"), F.max("start").alias("_high"))
+    marked = parts.select(by, "start", sym, "n").join(ends, by).withColumn("_end", F.col("start").isin(F.col("_low"), F.col("_high")))
     order = Window.orderBy("start")
-    new = F.coalesce(F.lag(sym).over(order) != F.col(sym), F.lit(True)).cast("long")
-    ids = parts.select("start", sym, "n", new.alias("_new")).withColumn("_id", F.sum("_new").over(order))
-    return ids.groupBy("_id").agg(F.min("start").alias("start"), F.first(sym).alias(sym), F.sum("n").alias("n")).drop("_id")
+    goes_on = (F.lag(sym).over(order) == F.col(sym)) & (F.lag(by).over(order) != F.col(by))
+    ids = marked.where("_end").withColumn("_new", (~F.coalesce(goes_on, F.lit(False))).cast("long")).withColumn("_id", F.sum("_new").over(order))
+    joined = ids.groupBy("_id").agg(F.min("start").alias("start"), F.first(sym).alias(sym), F.sum("n").alias("n")).drop("_id")
+    return marked.where("not _end").select("start", sym, "n").unionByName(joined)
 
 
 def unrolled(rows: DataFrame, start: str = "start", sym: str = "sym", n: str = "n", to: str = "frame") -> DataFrame:

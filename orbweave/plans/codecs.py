@@ -20,8 +20,11 @@ SAME = f"with {QUANTISED} select frame, particle, dim, q from q"
 
 
 def scratch_folder(spark, name: str) -> str:
-    """A new folder under the cluster's shared one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """A new folder under the cluster's shared one, which a cluster has to name; one process may use its own."""
+    shared, master = spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.master", "")
+    if not shared and master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir isn't set: executors have no folder in common")
+    shared = shared or "file:///tmp/checkpoints"
     return f"{shared.rstrip('/')}/orbweave/{name}-{uuid.uuid4().hex}"
 
 

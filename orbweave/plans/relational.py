@@ -228,11 +228,11 @@ def mapping_apply(spark, d):
     return mapping.applied(rows, _mappings(spark, sets)).select("frame", "particle", "dim", "real_particle")
 
 
-@query("""with b as (select n_regionkey as frame_set, n_nationkey as block, n_nationkey * 3 as first, 2 + n_nationkey % 5 as n from nation)
+@query("""with b as (select n_regionkey as frame_set, n_nationkey as block, n_nationkey as first, 2 + n_nationkey % 5 * 3 as n from nation)
 select a.frame_set, a.block as a, b.block as b from b as a join b on a.frame_set = b.frame_set and a.block < b.block
 where (b.first >= a.first and b.first < a.first + a.n) or (b.first + b.n >= a.first and b.first + b.n < a.first + a.n) or (a.first >= b.first and a.first < b.first + b.n) or (a.first + a.n > b.first and a.first + a.n < b.first + b.n)""")
 def mapping_overlap(spark, d):
-    rows = adapters.table(spark, d, "nation").select(F.col("n_regionkey").alias("frame_set"), F.col("n_nationkey").alias("block"), (F.col("n_nationkey") * 3).alias("first"), (2 + F.col("n_nationkey") % 5).alias("n"))
+    rows = adapters.table(spark, d, "nation").select(F.col("n_regionkey").alias("frame_set"), F.col("n_nationkey").alias("block"), F.col("n_nationkey").alias("first"), (2 + F.col("n_nationkey") % 5 * 3).alias("n"))
     return mapping.overlaps(rows)
 
 
@@ -263,14 +263,8 @@ def unzigzag(spark, d):
     return adapters.table(spark, d, "events").select("event_id", numeric.unzigzag(F.col("event_id")).alias("q"))
 
 
-@query(f"with {DELTA_INTER} select frame, particle, dim, delta from d where frame between 0 and 299")
-def delta_inter(spark, d):
-    rows = frames.in_range(adapters.frames(spark, d), 0, 299)  # whole frame sets
-    return adapters.long_form(deltas.inter(deltas.quantised(rows, PRECISION)).drop("q"), "delta", "delta").drop("frame_set")
-
-
 @query(f"with {DELTA_INTER} select frame, particle, dim, delta from d")
-def delta_inter_all(spark, d):
+def delta_inter(spark, d):
     return adapters.long_form(deltas.inter(deltas.quantised(adapters.frames(spark, d), PRECISION)).drop("q"), "delta", "delta").drop("frame_set")
 
 
@@ -354,15 +348,9 @@ def histogram_dict(spark, d):
     return runs.histogram(adapters.symbols(spark, d))
 
 
-@query("""with s as (select event_id as frame, event_id // 100 as frame_set, event_type as sym, lag(event_id) over (partition by event_id // 100, event_type order by event_id) as last from events where event_id < 2000)
-select a.frame_set, a.frame, a.sym, case when max(a.last) is not null then count(distinct b.sym) end as mtf from s a left join s b on b.frame_set = a.frame_set and b.frame > a.last and b.frame < a.frame group by all""")
-def mtf_ranks(spark, d):
-    return runs.move_to_front(adapters.symbols(spark, d).where("frame < 2000"), "frame_set")
-
-
 @query("""with s as (select event_id as frame, event_id // 100 as frame_set, event_type as sym, lag(event_id) over (partition by event_id // 100, event_type order by event_id) as last from events)
 select a.frame_set, a.frame, a.sym, case when max(a.last) is not null then count(distinct b.sym) end as mtf from s a left join s b on b.frame_set = a.frame_set and b.frame > a.last and b.frame < a.frame group by all""")
-def mtf_ranks_all(spark, d):
+def mtf_ranks(spark, d):
     return runs.move_to_front(adapters.symbols(spark, d), "frame_set")
 
 
@@ -451,10 +439,17 @@ def bwt_small(spark, d):
     return adapters.symbols(spark, d).select(F.col("sym").alias("s")).distinct().select("s", text.block_sorted(F.col("s")).alias("bwt"))
 
 
-@query("select event_type as s, cast(length(event_type) as bigint) as n from events group by 1")
+ALPHABET = "abcdefghijklmnopqrstuvwxyz_-"
+
+
+@query(f"""with c as (select distinct event_type as s, i, substr(event_type, i, 1) as ch from events, unnest(range(1, length(event_type) + 1)) t(i)),
+p as (select *, strpos('{ALPHABET}', ch) - 1 as pos, lag(i) over (partition by s, ch order by i) as last from c),
+r as (select a.s, a.i, case when any_value(a.last) is not null then count(distinct b.ch) filter (b.i > a.last) else any_value(a.pos) + count(distinct b.ch) filter (b.pos > a.pos) end as rank
+      from p a left join p b on a.s = b.s and b.i < a.i group by a.s, a.i)
+select s, list(cast(rank as integer) order by i) as ranks from r group by s""")
 def mtf_small(spark, d):
     rows = adapters.symbols(spark, d).select(F.col("sym").alias("s")).distinct()
-    return rows.select("s", F.size(text.move_to_front(F.col("s"), "abcdefghijklmnopqrstuvwxyz_-")).cast("long").alias("n"))
+    return rows.select("s", text.move_to_front(F.col("s"), ALPHABET).alias("ranks"))
 
 
 @query("select event_type as scope, frame_set, coalesce(own, fallback) as value from (select event_type, event_id // 100 as frame_set, max(value) filter (event_id % 3 = 0) as own from events group by all) join (select event_type as t, max(value) as fallback from events group by 1) on t = event_type")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +128,32 @@ def test_runs_over_sets(spark):
     parts = runs.runs(rows)
     same_rows(parts.select("start", "sym", "n").collect(), [(0, "a", 2), (2, "b", 1), (3, "b", 2), (5, "a", 1)])
     same_rows(runs.joined_runs(parts).select("start", "sym", "n").collect(), [(0, "a", 2), (2, "b", 3), (5, "a", 1)])
+
+
+def test_runs_across_many_groups(spark):
+    """Runs over several whole groups, groups of one run, and equal symbols at both ends of a group."""
+    text = "aabb" + "bbbb" + "bbbb" + "bcbb" + "abca" + "aaaa" + "abab"
+    parts = runs.runs(spark.createDataFrame([(i, i // 4, c) for i, c in enumerate(text)], "frame long, frame_set long, sym string"))
+    want, at = [], 0
+    for c, own in groupby(text):
+        n = len(list(own))
+        want.append((at, c, n))
+        at += n
+    same_rows(runs.joined_runs(parts).select("start", "sym", "n").collect(), want)
+
+
+def test_long_frames_are_summed_up(spark):
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 3, 4, 9, 28, 1000, 30_001):
+        delta = rng.integers(-50, 50, n)
+        want = [int(delta[i % 3 : i + 1 : 3].sum()) for i in range(n)] if n < 2000 else None
+        got = deltas.undo_intra(spark.createDataFrame([(delta.tolist(),), (None,)], "delta array<long>")).collect()
+        if want is None:
+            want = np.zeros(n, np.int64)
+            for k in range(3):
+                want[k::3] = np.cumsum(delta[k::3])
+            want = want.tolist()
+        assert [r["q"] for r in got] == [want, None]
     assert runs.canonical_dictionary(spark).count() == 0x20004
 
 

@@ -20,7 +20,7 @@ def test_move_to_front_of_all_events(spark):
         seen = last.setdefault(frame // 100, {})
         want.append((frame // 100, frame, sym, sum(x > seen[sym] for x in seen.values()) if sym in seen else None))
         seen[sym] = frame
-    got = relational.QUERIES["mtf_ranks_all"].run(spark, SF).select("frame_set", "frame", "sym", "mtf")
+    got = relational.QUERIES["mtf_ranks"].run(spark, SF).select("frame_set", "frame", "sym", "mtf")
     same_rows(got.collect(), want)
 
 
@@ -38,7 +38,7 @@ def deltas_of_all_frames(spark, folder):
 def test_inter_frame_deltas_of_all_frames(spark):
     want = deltas_of_all_frames(spark, SF)
     assert max(r[0] for r in want) > 299
-    got = relational.QUERIES["delta_inter_all"].run(spark, SF)
+    got = relational.QUERIES["delta_inter"].run(spark, SF)
     same_rows(got.select("frame", "particle", "dim", "delta").collect(), want)
 
 
