@@ -14,7 +14,8 @@ Only figures of tokens are shuffled, combined by task first. A host's template i
 broadcast up to BROADCAST bytes, and joined by a shuffle beyond that.
 
 Defined cases. Null or empty html, or nothing but markup: empty text. Null or odd urls: host unknown, no template. Repeated rows: each
-gives a row. Unclosed tags: elements end with their parents or with the page. Broken references stay as they are. Other columns are ignored.
+gives a row. Unclosed tags: elements end with their parents or with the page. Broken references stay as they are. Other columns are ignored. An empty
+table: no rows. Very long pages: parsed whole, one at a time; templates are aligned in time n log n.
 """
 
 from __future__ import annotations
@@ -218,7 +219,7 @@ def _aligned(tokens: list[tuple[int, int]], rank: dict[int, int]) -> set[int]:
         k = bisect_right(tails, rank[token])
         if k:
             before[i] = places[k - 1]
-        tails[k:], places[k:] = [*[rank[token]], *tails[k + 1 :]], [*[i], *places[k + 1 :]]
+        tails[k : k + 1], places[k : k + 1] = [rank[token]], [i]
     found, i = set(), places[-1] if places else -1
     while i >= 0:
         found.add(own[i])

@@ -3,7 +3,7 @@
 A list is a log of dated events: an entry (a host with all below it, or a host and path prefix) is added or removed on a day. A window over
 each entry's own events turns the log into validity intervals, from the day it is added to the day it is removed. A capture is
 blocked if an entry that matches its URL is active at the time it was fetched: the as-of join of the capture's keys (its host's
-suffixes, its path's prefixes) and the interval that holds its day.
+suffixes, its path's prefixes, of the lengths that entries have) and the interval that holds its day.
 
 Distinct pairs of a URL and a day are looked up once, so a hot host or URL costs what it has of different pairs. Intervals are
 broadcast up to BROADCAST bytes and joined by a shuffle beyond that; a key is one row per interval there, so that the skew
@@ -11,7 +11,8 @@ join handling can split captures' hot keys.
 
 Defined cases. Null URLs or fetch times, and URLs without a host: never blocked. Events without a day or value are void. An entry
 added twice stays; removed before it is added: no interval. On one day a removal comes after an addition. Repeated captures:
-a row each. Extra columns are kept by filter_urls(), whatever their names.
+a row each. Extra columns are kept by filter_urls(), whatever their names. An empty table or list: nothing is blocked. Very long
+URLs: matched whole, with a key for each shape of an entry.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .shared import saved, table
 #: Bytes of intervals (about) up to which they are broadcast.
 BROADCAST = 16 << 20
 INTERVAL_BYTES = 64
+#: Different shapes (labels of a host, parts of a path) that a list's entries may have; more are an error.
+MOST_SHAPES = 400
 URL = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?([^?#]*)"
 
 #: The list of the registered query: entry, event, day.
@@ -44,16 +47,25 @@ def intervals(events: DataFrame) -> DataFrame:
     return changes.withColumn("until", F.lead("day").over(order)).where("event = 'add' and (until is null or until > day)").select("list", "entry", F.col("day").alias("since"), "until")
 
 
-def keys(url: Column) -> Column:
-    """What entries may match a URL: each suffix of its host alone, and the host with each prefix of its path's parts."""
+def keys(url: Column, shapes: list[tuple[int, int]]) -> Column:
+    """What entries may match a URL: for each shape (labels of a host, parts of a path) that entries have, the host's last labels and
+    the path's first parts. So a URL has as many keys as there are shapes, however long it is."""
     text = F.lower(url.cast("string"))
     host, path = F.rtrim(F.regexp_extract(text, URL, 1), F.lit(".")), F.regexp_extract(text, URL, 2)
-    labels = F.split(host, "\\.")
-    parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))).otherwise(F.array().cast("array<string>"))
-    hosts_parts = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
-    return F.when(host != "", F.array_distinct(F.concat(suffixes, hosts_parts)))
+    labels, parts = F.split(host, "\\."), F.filter(F.split(path, "/"), lambda x: x != "")
+    last = lambda n: F.array_join(F.slice(labels, -n, n), ".")
+    first = lambda n: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, n), "/")) if n else F.lit("")
+    each = [F.when((F.size(labels) >= a) & (F.size(parts) >= b), F.concat(last(a), first(b))) for a, b in shapes]
+    return F.when(host != "", F.array_compact(F.array(*each) if each else F.array().cast("array<string>")))
+
+
+def shapes_of(valid: DataFrame) -> list[tuple[int, int]]:
+    """Labels of hosts and parts of paths of a list's entries, MOST_SHAPES of them at most."""
+    host, path = F.substring_index("entry", "/", 1), F.regexp_count("entry", F.lit("/"))
+    found = valid.select(F.size(F.split(host, "\\.")).alias("a"), path.alias("b")).distinct().limit(MOST_SHAPES + 1).collect()
+    if len(found) > MOST_SHAPES:
+        raise ValueError(f"entries have more than {MOST_SHAPES} shapes")
+    return sorted((r["a"], r["b"]) for r in found)
 
 
 def verdicts(captures: DataFrame, events: DataFrame, url_col: str = "url", time_col: str = "fetched") -> DataFrame:
@@ -61,7 +73,7 @@ def verdicts(captures: DataFrame, events: DataFrame, url_col: str = "url", time_
     valid = saved(intervals(events), "url-intervals")
     small = valid.count() * INTERVAL_BYTES + (valid.select(F.sum(F.octet_length("list") + F.octet_length("entry"))).first()[0] or 0) <= BROADCAST
     pairs = captures.select(F.col(url_col).alias("url"), F.to_date(time_col).alias("day")).where("url is not null and day is not null").distinct()
-    each = pairs.select("url", "day", F.explode(keys(F.col("url"))).alias("entry"))
+    each = pairs.select("url", "day", F.explode(keys(F.col("url"), shapes_of(valid))).alias("entry"))
     hits = each.join(F.broadcast(valid) if small else valid, "entry").where("day >= since and (until is null or day < until)")
     first = F.min(F.struct("list", "entry"))
     return hits.groupBy("url", "day").agg(F.count("*").alias("n_entries"), first.getField("list").alias("first_list"), first.getField("entry").alias("first_entry"))

@@ -14,7 +14,9 @@ to it. Only digests and ids are grouped; payloads move once, to their digest's f
 digest; the other has one row for each digest, so Spark's skew join handling can split the hot side.
 
 Defined cases. Null payload: empty, a response. Null id: written as such; it is smallest only if all ids are null.
-Rows that repeat the smallest id are all responses. Null or odd urls are percent-encoded or left out. Other columns are ignored.
+Rows that repeat the smallest id are all responses. Null urls are left out, those with spaces or control characters percent-encoded. Other columns are
+ignored. An empty table: no archive, no rows. Very long payloads: cut into chunks. A segment that is lost or out of place, a record that ends early
+and a payload that its digest doesn't fit are errors, never skipped.
 """
 
 from __future__ import annotations
@@ -64,7 +66,7 @@ def chunk_rows(rows: DataFrame) -> DataFrame:
         F.when(~first, _field("WARC-Type", "continuation")).otherwise(F.when(stored, _field("WARC-Type", "response")).otherwise(_field("WARC-Type", "revisit"))),
         _field("WARC-Record-ID", F.when(first, name(F.col("id"))).otherwise(F.concat(F.lit("<urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(":"), F.col("chunk").cast("string"), F.lit(">")))),
         _field("WARC-Date", DATE),
-        F.when(first, _field("WARC-Target-URI", F.url_encode(F.col("url")))).otherwise(""),
+        F.when(first, _field("WARC-Target-URI", F.when(F.col("url").rlike(r"[\x00-\x20\x7F]"), F.url_encode(F.col("url"))).otherwise(F.col("url")))).otherwise(""),
         F.when(first, _field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest")))).otherwise(""),
         F.when(~stored, _field("WARC-Refers-To", name(F.col("first")))).otherwise(""),
         F.when(~stored, _field("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")).otherwise(""),
@@ -72,6 +74,7 @@ def chunk_rows(rows: DataFrame) -> DataFrame:
         F.when(many, _field("WARC-Segment-Number", F.col("chunk") + 1)).otherwise(""),
         F.when(many & ~first, _field("WARC-Segment-Origin-ID", name(F.col("id")))).otherwise(""),
         F.when(many, _field("X-Segments", F.col("chunks"))).otherwise(""),
+        F.when(many & (F.col("chunk") + 1 == F.col("chunks")), _field("WARC-Segment-Total-Length", F.lit(len(HTTP)) + F.col("n_bytes"))).otherwise(""),
         _field("Content-Type", "application/http;msgtype=response"),
         F.lit("Content-Length: "),
         F.octet_length("_block").cast("string"),
@@ -96,6 +99,7 @@ class Parser:
         self.sha = hashlib.sha256()
         self.done = self.size = self.chunk = 0
         self.record: dict[str, str] = {}
+        self.open = False  # more of the record is to come
 
     def feed(self, data: bytes) -> Iterator[tuple]:
         while data:
@@ -109,7 +113,13 @@ class Parser:
                 lines, data, self.kept = self.kept[at:end].decode("utf-8", "replace").split("\r\n")[1:], self.kept[end + len(END) :], b""
                 self.head = dict(x.split(": ", 1) for x in lines if ": " in x)
                 self.left, self.size = int(self.head.get("Content-Length", 0)), 0
-                if self.head.get("WARC-Type") != "continuation":
+                if self.head.get("WARC-Type") == "continuation":
+                    if not self.open or int(self.head.get("WARC-Segment-Number", 0)) != self.chunk + 1 or self.head.get("WARC-Segment-Origin-ID") != self.record.get("WARC-Record-ID"):
+                        raise ValueError(f"segment {self.head.get('WARC-Record-ID')} doesn't follow the one before it")
+                else:
+                    if self.open:
+                        raise ValueError(f"record {self.record.get('WARC-Record-ID')} isn't whole")
+                    self.open = True
                     self.record, self.skip, self.sha, self.done, self.chunk = self.head, self.head["WARC-Type"] in ("response", "revisit"), hashlib.sha256(), 0, 0
                 self.http = b""
             part, data = data[: self.left], data[self.left :]
@@ -130,8 +140,16 @@ class Parser:
             elif not data:
                 return
 
+    def finish(self) -> None:
+        """Called at the end of an archive."""
+        if self.open or self.left > 0:
+            raise ValueError(f"record {self.record.get('WARC-Record-ID')} isn't whole")
+
     def row(self) -> tuple:
         r, whole = self.record, int(self.record.get("X-Segments", 1)) == self.chunk + 1
+        self.open = not whole
+        if whole and r["WARC-Type"] == "response" and r["WARC-Payload-Digest"] != f"sha256:{self.sha.hexdigest()}":
+            raise ValueError(f"record {r['WARC-Record-ID']}: its payload's digest is another")
         name = lambda x: (m := re.fullmatch(r"<urn:page:(.*)>", x or "")) and (None if m[1] == "null" else m[1])
         if r["WARC-Type"] == "revisit":  # the payload is the one it refers to
             return name(r["WARC-Record-ID"]), 0, 0, int(r["X-Payload-Length"]), r["WARC-Payload-Digest"].removeprefix("sha256:"), "revisit", name(r.get("WARC-Refers-To")), True
@@ -152,10 +170,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             out = []
             for file, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if file not in parsers:
+                    for p in parsers.values():
+                        p.finish()
                     parsers = {file: Parser()}
                 out += parsers[file].feed((text or b"") + END.encode())
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+        for p in parsers.values():
+            p.finish()
 
     return spark.read.option("lineSep", END).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value")).mapInArrow(run, spark_schema)
 

@@ -75,6 +75,24 @@ def test_archives_are_plain_warc(spark):
     assert sorted(kinds) == ["response", "revisit"]
 
 
+def read_parts(records: list[bytes]) -> list[tuple]:
+    parser = warc.Parser()
+    rows = [r for x in records for r in parser.feed(x + warc.END.encode())]
+    parser.finish()
+    return rows
+
+
+def test_damaged_archives_are_errors(spark):
+    """A lost, moved or changed segment and an archive that ends early are told."""
+    pages = spark.createDataFrame([(1, "u", "é" * (warc.CHUNK * 2 + 5)), (2, "http://a/b", "short")], PAGES)
+    parts = [r["text"].encode() for r in warc.chunk_rows(warc.described(pages)).orderBy("id", "chunk").collect()]
+    assert [r[-1] for r in read_parts(parts)] == [False, False, True, True] and b"WARC-Segment-Total-Length" in parts[2] and b"WARC-Target-URI: http://a/b\r\n" in parts[3]
+    changed = parts[1][:-2] + "è".encode()
+    for damaged in (parts[:1] + parts[2:], parts[:2] + parts[3:], [parts[1], parts[0], *parts[2:]], parts[:2], [*parts[:3], parts[3][:-2]], [parts[0], changed, *parts[2:]], parts[1:]):
+        with pytest.raises(ValueError, match="segment|record"):
+            read_parts(damaged)
+
+
 def test_warc_of_nothing(spark):
     path = new_path(spark, "warc-none")
     warc.write_archives(spark.createDataFrame([], PAGES), path)
@@ -110,6 +128,19 @@ def test_as_of(spark, monkeypatch, limit):
     assert sorted(r["page_id"] for r in kept.collect()) == [1, 5, 7, 9, 10, 11, 12, 13] and kept.columns == rows.columns
 
 
+def test_long_urls(spark):
+    """60 KB of host labels or path parts: keys are as few as the list's shapes, and matches are the same."""
+    long_path, long_host = "/a" * 30_000, "a." * 30_000 + "com"
+    rows = [(1, f"http://x.org{long_path}", "2024-03-01"), (2, f"http://{long_host}/p/q", "2024-03-01"), (3, "http://b.x.org/a/a/b?c#d", "2024-03-01"), (4, "http://x.org:80//a//a", "2024-03-01"), (5, "http://x.organ/a", "2024-03-01")]
+    captures = spark.createDataFrame(rows, "page_id long, url string, fetched string")
+    events = spark.createDataFrame([("l", e, "add", "2024-01-01") for e in ("x.org/a/a", "a.com", "a.a.com/p", "x.org/b", "org/a")], "list string, entry string, event string, day string")
+    got = {r["page_id"]: r["n_entries"] for r in urls.judged(captures, events).collect()}
+    assert got == {1: 2, 2: 2, 3: 2, 4: 2, 5: 0}
+    shapes = urls.shapes_of(urls.intervals(events))
+    assert shapes == [(1, 1), (2, 0), (2, 1), (2, 2), (3, 1)]
+    assert max(len(r[0]) for r in captures.select(urls.keys(F.col("url"), shapes)).collect()) <= len(shapes)
+
+
 def test_no_captures_or_no_list(spark):
     none = spark.createDataFrame([], "page_id long, url string, fetched date")
     assert urls.judged(none, events(spark)).count() == 0
