@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .shared import n_words, saved, table
 
 #: Documents of a bucket of a source's order, about.
-BUCKET = 20_000
+BUCKET = 1000
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
 META = ("_src", "_key", "_id", "_size")

@@ -212,8 +212,8 @@ def trie_join(keys: np.ndarray, depth: int, distance: int, wide: np.ndarray | No
 EDGES = "u long, v long"
 
 
-def placed(fps: DataFrame, tables: Tables, with_fp: bool = True) -> DataFrame:
-    """fps: node (long), fp (binary, top byte first). A row for each table: t, top (the bits that agree), and node and fp if wanted."""
+def placed(fps: DataFrame, tables: Tables, per: int) -> DataFrame:
+    """fps: node (long), fp (binary, top byte first). A row for each table: unit (per of them for each table, by the bits that agree), node, fp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -222,41 +222,38 @@ def placed(fps: DataFrame, tables: Tables, with_fp: bool = True) -> DataFrame:
                 bits = bits_of(part.column(1).to_pylist())
                 for t, (order, depth) in enumerate(zip(tables.order, tables.depth.tolist(), strict=True)):
                     top = lead_of(bits, order) >> np.uint64(64 - depth) if depth else np.zeros(len(part), np.uint64)
-                    out = [pa.array(np.full(len(part), t, np.int32)), pa.array(top.view(np.int64))]
-                    yield pa.RecordBatch.from_arrays([*out, *part.columns] if with_fp else out, names=["t", "top", "node", "fp"] if with_fp else ["t", "top"])
+                    top = (top ^ top >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)
+                    yield pa.RecordBatch.from_arrays([pa.array((t * per + top % np.uint64(per)).astype(np.int64)), *part.columns], names=["unit", "node", "fp"])
 
-    return fps.select("node", "fp").mapInArrow(run, "t int, top long, node long, fp binary" if with_fp else "t int, top long")
+    return fps.select("node", "fp").mapInArrow(run, "unit long, node long, fp binary")
 
 
 def trie_links(fps: DataFrame, tables: Tables, unit: int = UNIT, node: int = NODE) -> DataFrame:
     """fps: node, fp, one row for each fingerprint. Edges u, v: spanning forests of all links that a table finds."""
     n = fps.count()
-    rows = placed(fps, tables).withColumns({"i": F.lit(0), "j": F.lit(0)})
-    large = saved(placed(fps, tables, False).groupBy("t", "top").agg(F.count("*").alias("members")).where(F.col("members") > node), "simhash-large") if n > node else None
+    per = max(1, -(-n // unit))
+    rows, pair = placed(fps, tables, per), ["unit"]
+    large = saved(rows.groupBy("unit").agg(F.count("*").alias("members")).where(F.col("members") > node), "simhash-large") if n > node else None
     if large is not None and not large.isEmpty():
-        # A node that is too large is cut into blocks of its members; each pair of blocks is joined by itself.
-        own = placed(fps, tables).join(large, ["t", "top"], "left").withColumn("blocks", F.ceil(F.coalesce("members", F.lit(1)) / node).cast("int"))
+        # A unit that is too large is cut into blocks of its members; each pair of blocks is joined by itself.
+        own = rows.join(large, "unit", "left").withColumn("blocks", F.ceil(F.coalesce("members", F.lit(1)) / node).cast("int"))
         own = own.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = own.select("t", "top", "node", "fp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    per = max(1, -(-n // unit))
-
-    def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = [pd.DataFrame({"u": [], "v": []}, dtype="int64")]
-        for (t, _, _), own in rows.groupby(["t", "i", "j"], sort=False):
-            bits, node = bits_of(own["fp"].tolist()), own["node"].to_numpy()
-            lead = lead_of(bits, tables.order[t])
-            wide = np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.uint64) if bits.shape[1] > 64 else None
-            order = np.argsort(lead, kind="stable")
-            label = trie_join(lead[order], int(tables.depth[t]), tables.lead, None if wide is None else wide[order], tables.budget)
-            node = node[order]
-            least = node.copy()
-            np.minimum.at(least, label, node)
-            to = least[label]
-            found.append(pd.DataFrame({"u": node, "v": to})[node != to])
-        return pd.concat(found)
-
-    unit_of = F.col("t") * per + F.pmod(F.xxhash64("top", "i", "j"), F.lit(per))
-    return rows.groupBy(unit_of.alias("unit")).applyInPandas(join, EDGES)
+        rows, pair = own.select("unit", "node", "fp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")), ["unit", "i", "j"]
+
+    def join(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        t = int(key[0]) // per
+        bits, node = bits_of(own["fp"].tolist()), own["node"].to_numpy()
+        lead = lead_of(bits, tables.order[t])
+        wide = np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.uint64) if bits.shape[1] > 64 else None
+        order = np.argsort(lead, kind="stable")
+        label = trie_join(lead[order], int(tables.depth[t]), tables.lead, None if wide is None else wide[order], tables.budget)
+        node = node[order]
+        least = node.copy()
+        np.minimum.at(least, label, node)
+        to = least[label]
+        return pd.DataFrame({"u": node, "v": to})[node != to]
+
+    return rows.groupBy(*pair).applyInPandas(join, EDGES)
 
 
 def links(fps: DataFrame, distance: int = DISTANCE, unit: int = UNIT, node: int = NODE) -> DataFrame:

@@ -33,7 +33,9 @@ from .simhash import EDGES, Tables, _Forest, row_name, shingle_hashes, trie_link
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bits of a fingerprint, classes below a node of a trie, the chance of a miss at SIMILARITY, and standard deviations of the error budgets.
-WIDTH, SHARE, MISS, WITHIN, SEED = 256, 64, 1e-4, 3.7, 11
+WIDTH, SHARE, MISS, WITHIN, SEED = 128, 256, 1e-4, 3.7, 11
+#: Bits of the filter of candidates' names for each of them, and at most.
+FILTER, MOST = 16, 1 << 25
 #: Classes and shingles of a block, about; classes that all blocks of a large group are compared with.
 BLOCK, WEIGHT, PIVOTS = 512, 300_000, 8
 #: Shingles that are compared at once.
@@ -179,13 +181,23 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     group = components(trie_links(some, wide_tables(some.count(), least))).select(F.col("node").alias("c"), F.col("root").alias("group"))
     reps = saved(own.join(group, "c").select("group", "c", "n", F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2")), "similar-candidates")
 
+    # Only texts whose name is in a bitmap of the candidates' names become sets, and only sets move.
+    size = min(MOST, 1 << max(15, (FILTER * reps.count()).bit_length()))
+    spot = F.pmod(F.xxhash64(F.lit(SEED), "k1"), F.lit(size))
+    bitmap = np.zeros(size // 8, np.uint8)
+    for r in reps.select(spot.alias("spot")).groupBy(F.expr("spot div 32768").alias("part")).agg(F.bitmap_construct_agg(F.col("spot") % 32768).alias("bits")).collect():  # MOST / 8 bytes at most
+        bitmap[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            at = b.column(0).to_numpy()
+            b = b.filter(pa.array((bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
             for start in range(0, len(b), 512):
                 part = b.slice(start, 512)
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([shingles(t.as_py(), k).tobytes() for t in part.column(3)], pa.binary())], names=["group", "c", "n", "own"])
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([shingles(t.as_py(), k).tobytes() for t in part.column(3)], pa.binary())], names=["k1", "k2", "own"])
 
-    members = named.select("k1", "k2", F.col(at[text_col]).alias("text")).join(reps, ["k1", "k2"]).select("group", "c", "n", "text").mapInArrow(as_sets, "group long, c long, n long, own binary")
+    own_sets = named.select(spot.alias("spot"), "k1", "k2", F.col(at[text_col]).alias("text")).mapInArrow(as_sets, "k1 long, k2 long, own binary")
+    members = own_sets.join(reps, ["k1", "k2"]).select("group", "c", "n", "own")
     members = saved(members.dropDuplicates(["c"]), "similar-members")
     roots = components(exact_links(members, least)).select(F.col("node").alias("c"), "root")
     firsts = own.join(roots, "c", "left").groupBy(F.coalesce("root", "c").alias("root")).agg(F.min("rep").alias("rep"))
