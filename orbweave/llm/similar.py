@@ -33,9 +33,9 @@ from .simhash import EDGES, Tables, _Forest, row_name, shingle_hashes, trie_link
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bits of a fingerprint, classes below a node of a trie, the chance of a miss at SIMILARITY, and standard deviations of the error budgets.
-WIDTH, SHARE, MISS, WITHIN, SEED = 128, 256, 1e-4, 3.7, 11
+WIDTH, SHARE, MISS, WITHIN, SEED = 128, 1024, 1e-4, 3.7, 11
 #: Bits of the filter of candidates' names for each of them, and at most.
-FILTER, MOST = 16, 1 << 25
+FILTER, MOST = 64, 1 << 25
 #: Classes and shingles of a block, about; classes that all blocks of a large group are compared with.
 BLOCK, WEIGHT, PIVOTS = 512, 300_000, 8
 #: Shingles that are compared at once.
@@ -130,9 +130,10 @@ def exact_links(members: DataFrame, least: float = SIMILARITY, block: int = BLOC
     none = pd.DataFrame({"u": [], "v": []}, dtype="int64")
     salted = lambda i: F.min(F.struct(F.xxhash64(F.lit(i), "c"), "c")).getField("c")
     blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / weight)).cast("int")
-    groups = saved(members.groupBy("group").agg(blocks.alias("blocks"), F.sum("n").alias("weight"), F.array_distinct(F.array(*map(salted, range(PIVOTS)))).alias("pivots")), "similar-groups")
-    units = max(1, -(-(groups.where("blocks = 1").agg(F.sum("weight")).first()[0] or 0) // weight))
-    placed = members.join(groups, "group").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    groups = members.groupBy("group").agg(blocks.alias("blocks"), F.array_distinct(F.array(*map(salted, range(PIVOTS)))).alias("pivots"))
+    large = saved(groups.where("blocks > 1"), "similar-large")  # the others aren't joined: their members stay together in any case
+    units = max(1, -(-(members.agg(F.sum("n")).first()[0] or 0) // weight))
+    placed = members.join(large, "group", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     everywhere = F.when((F.col("blocks") > 1) & F.array_contains("pivots", F.col("c")), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     unit = F.when(F.col("blocks") > 1, F.xxhash64("group", "in")).otherwise(F.pmod(F.xxhash64("group"), F.lit(units)))
 
@@ -144,7 +145,7 @@ def exact_links(members: DataFrame, least: float = SIMILARITY, block: int = BLOC
         return pd.concat(found)
 
     near = saved(placed.withColumn("in", F.explode(everywhere)).select(unit.alias("unit"), "group", "in", "c", "own").groupBy("unit").applyInPandas(first, EDGES), "similar-first")
-    large = groups.where("blocks > 1").select("group", "blocks")
+    large = large.select("group", "blocks")
     if large.isEmpty():
         return near
     roots = components(near).select(F.col("node").alias("c"), "root")
@@ -197,8 +198,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([shingles(t.as_py(), k).tobytes() for t in part.column(3)], pa.binary())], names=["k1", "k2", "own"])
 
     own_sets = named.select(spot.alias("spot"), "k1", "k2", F.col(at[text_col]).alias("text")).mapInArrow(as_sets, "k1 long, k2 long, own binary")
-    members = own_sets.join(reps, ["k1", "k2"]).select("group", "c", "n", "own")
-    members = saved(members.dropDuplicates(["c"]), "similar-members")
+    members = own_sets.join(reps, ["k1", "k2"]).select("k1", "k2", "group", "c", "n", "own")
+    members = saved(members.dropDuplicates(["k1", "k2"]).drop("k1", "k2"), "similar-members")  # repeated rows; dealt as the join is
     roots = components(exact_links(members, least)).select(F.col("node").alias("c"), "root")
     firsts = own.join(roots, "c", "left").groupBy(F.coalesce("root", "c").alias("root")).agg(F.min("rep").alias("rep"))
     kept = firsts.select(F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2"))
