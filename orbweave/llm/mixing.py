@@ -128,7 +128,7 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     plan = Plan(meta, weights, max_epochs)
     done = saved(plan.apply(meta), "mix-applied")
     copies = plan.merged(done).groupBy("_src", "_end").agg(F.sum("_size").alias("taken"), F.min(F.col("_upto") - F.col("_size")).alias("place"))
-    done = done.withColumn("_end", F.when(F.col("_copies") > 0, F.col("_end"))).join(copies, ["_src", "_end"], "left")
+    done = done.withColumn("_end", F.when(F.col("_copies") > 0, F.col("_end")).otherwise(-1 - F.abs(F.hash("_key").cast("long")))).join(copies, ["_src", "_end"], "left")
     return done.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.col("place").cast("long").alias("place"))
 
 
