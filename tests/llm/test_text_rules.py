@@ -57,14 +57,17 @@ def test_no_documents_and_no_training(spark):
 
 def test_probabilities_are_normalised_and_learned():
     rng = np.random.default_rng(2)
-    true = rng.dirichlet(np.ones(lm.CLASSES) * 0.05, lm.CONTEXTS)  # by the nearer word
-    counts = np.zeros((lm.CONTEXTS**2, lm.CLASSES))
-    for near in range(lm.CONTEXTS):
-        counts[near::lm.CONTEXTS] = rng.multinomial(2000, true[near], lm.CONTEXTS)
-    table = lm.LogBilinear().train(counts).table()
+    size = lm.Sizes(191, 64, 64)
+    true = rng.dirichlet(np.ones(size.classes) * 0.05, size.contexts)  # by the nearer word
+    counts = np.zeros((size.contexts**2, size.classes), np.int64)
+    for near in range(size.contexts):
+        counts[near :: size.contexts] = rng.multinomial(2000, true[near], size.contexts)
+    codes = np.flatnonzero(counts)
+    far, near, norm = lm.LogBilinear(size).train(codes, counts.ravel()[codes]).parts()
+    table = (far[:, None] + near[None] - norm[:, :, None]).reshape(counts.shape)
     assert np.allclose(np.exp(table).sum(1), 1)
     total = counts.sum()
-    unigram = np.log((counts.sum(0) + 0.1) / (total + 0.1 * lm.CLASSES))
+    unigram = np.log((counts.sum(0) + 0.1) / (total + 0.1 * size.classes))
     assert (counts * table).sum() / total > (counts * unigram).sum() / total + 0.3
 
 
@@ -74,29 +77,87 @@ def test_scores_sum_to_one_over_words(spark):
     docs = spark.createDataFrame(rows, DOCS)
     parts = lm.blocks(docs).cache()
     counts = lm.word_counts(parts).cache()
-    n_ends = parts.select(F.sum(F.size(F.filter("held", lambda x: ~x)))).first()[0]
-    u = lm.Unigrams(counts, n_ends)
-    log_p = lm.trained(lm.triples(parts, u))
-    model = lm.Model(u, n_ends, log_p)
+    model = lm.fitted(parts, counts)
+    u, size = model.u, model.u.sizes
     known = {bytes(r["word"]): r["c"] for r in counts.collect()}
     words = [*known, *(f"??{i}".encode() for i in range(3000))]
     endings = np.array([lm._ending(w) for w in words])
     unseen = {}
     for w, e in zip(words, endings.tolist(), strict=True):
         if w not in known:
-            unseen.setdefault(e, w)
+            unseen.setdefault(e % size.rare, w)
     chosen = [*known, *unseen.values()]
     import zstandard
 
     row = {"tokens": zstandard.ZstdCompressor().compress(np.arange(len(chosen), dtype=np.int32).tobytes()), "lengths": np.ones(len(chosen), np.int64), "endings": np.array([lm._ending(w) for w in chosen]), "c": np.array([known.get(w, 0) for w in chosen])}
     row["classes"] = u.classes(chosen, row["endings"])
     _, _, _, score = model.score(row)
-    ends = model.log_p[lm._contexts(np.array([x for c in row["classes"] for x in (c, 0)]))[1::2], 0]
-    end_first = 10.0 ** float(model.log_p[0, 0])
-    assert len(unseen) == lm.RARE
+    seen = np.array([x for c in row["classes"] for x in (c, 0)])
+    far, near = size.contexts_of(seen)
+    ends = (model.far[far, seen] + model.near[near, seen] - model.norm[far, near])[1::2]
+    end_first = 10.0 ** float(model.far[0, 0] + model.near[0, 0] - model.norm[0, 0])
+    assert len(unseen) == size.rare
     assert (10.0 ** (score - ends)).sum() + end_first == pytest.approx(1, abs=1e-4)
 
 
+def test_scores_equal_brute_force(spark, monkeypatch):
+    """Softmax by softmax and word by word, from the trained vectors; triples counted one by one."""
+    monkeypatch.setattr(lm, "FAN", 2)
+    rows = odd_documents() + [(1000 + i, " ".join(f"w{(i * j) % 97}." for j in range(1, 30)), "en", "s", 0) for i in range(80)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(7)
+    found = []
+    train = lm.trained
+    monkeypatch.setattr(lm, "trained", lambda counts, sizes: found.append((counts.collect(), train(counts, sizes))) or found[-1][1])
+    got = {(r["doc_id"], r["n_tokens"]): r["score"] for r in lm.scores(docs).collect()}
+    held = {r[0]: zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 10 == 0 for r in rows}
+    words = Counter(t for r in rows if not held[r[0]] for t in tokens(r[1])[:-1])
+    n = sum(words.values()) + sum(not held[r[0]] for r in rows)
+    classes, rare = 20 * n**0.2, lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass").rstrip(b".,;:!?")[-3:]) % 32768 % round(classes * 0.25)
+    contexts = round(8 * n**0.125)
+    top = {w: 1 + i for i, w in enumerate(sorted(words, key=lambda w: (-words[w], w))[: round(classes * 0.75)])}
+    inside = Counter()
+    for w, c in words.items():
+        if w not in top:
+            inside[rare(w)] += c + 0.1
+
+    def cls(w):
+        return top.get(w, 1 + round(classes * 0.75) + rare(w))
+
+    own = contexts * 5 // 8
+    fold = lambda c: c if c <= own else own + 1 + c % (contexts - own - 1)
+    size = 1 + round(classes * 0.75) + round(classes * 0.25)
+    pieces, model = found[0]
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    soft, triples = {}, Counter()
+    want = {}
+    for r in rows:
+        far = near = 0
+        score = 0.0
+        for w in [*tokens(r[1])[:-1], None]:
+            c = 0 if w is None else cls(w)
+            triples[(far * contexts + near) * size + c] += not held[r[0]]
+            if (far, near) not in soft:
+                s = (p["r"][far] @ p["far"] + p["r"][near] @ p["near"]) @ p["q"].T + p["b"]
+                soft[far, near] = np.log10(np.exp(s) / np.exp(s).sum())
+            score += soft[far, near][c]
+            if w is not None and w not in top:
+                score += math.log10((words[w] + 0.1) / (inside[rare(w)] + 0.1))
+            far, near = near, fold(c)
+        want[r[0], len(tokens(r[1]))] = score
+    counted = {}
+    for r in pieces:
+        low, n = lm._unpacked(bytes(r["counts"]))
+        counted |= dict(zip((r["at"] * lm.PIECE + low).tolist(), n.tolist(), strict=True))
+    assert counted == {k: v for k, v in triples.items() if v}
+    assert got == pytest.approx(want, rel=1e-4, abs=1e-3)
+
+
+def test_what_is_gathered_grows_with_the_corpus():
+    small, large = lm.Sizes.of(10**6), lm.Sizes.of(10**9)
+    assert large.own > 3 * small.own and large.rare > 3 * small.rare and large.contexts > 2 * small.contexts
+    assert lm.Sizes.of(0).contexts - lm.Sizes.of(0).context_own > 1
+
+
 def test_model_beats_its_base_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = lm.scores(docs).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
