@@ -1,9 +1,11 @@
 """Embedding near-duplicates by Euclidean p-stable hashing and exact cosine checks.
 
 Normalised vectors are projected on Gaussian directions, and each projection, shifted at random, is cut into steps of WIDTH.
-A table's bucket is PROJECTIONS such steps. Unit vectors at cosine 0.98 lie 0.2 apart and share a projection's step with
-probability 0.92, unrelated ones with 0.48; over all TABLES the chance to meet is 0.989 for a pair right at 0.98 and more
-above it. Vectors that meet are compared exactly, in double precision, once for each pair: in the first table they share.
+A table's bucket is several such steps. Unit vectors at cosine 0.98 lie 0.2 apart and share a projection's step with
+probability 0.92, unrelated ones (at a right angle) with 0.49. Projections and tables follow the rows of the largest label:
+projections so that a vector meets about one unrelated vector a table, tables so that a pair right at the threshold is missed
+with a probability of MISS at most (less above it). With n rows a label, 30,000 take 15 and 14, 10^8 take 26 and 38. Vectors
+that meet are compared exactly, in double precision, once for each pair: in the first table they share.
 
 Equal vectors are one class from the start. Only class keys move for finding buckets; vectors follow for members of buckets
 of two or more. A bucket of more than BLOCK classes is cut into blocks, and each pair of blocks is a unit of work. Links are
@@ -15,6 +17,7 @@ of different lengths don't link. Null ids: least of a component only if it has n
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +30,29 @@ from .components import components
 from .shared import saved, table
 
 COSINE = 0.98
-TABLES, PROJECTIONS, WIDTH, SEED = 12, 14, 2.0, 20
+MISS, WIDTH, SEED = 0.01, 2.0, 20
 #: Classes of a block of a large bucket; members of a unit, about.
 BLOCK, UNIT = 2048, 8000
 #: Buckets of so many classes or fewer are compared together, TOGETHER pairs at once (or a row's).
 SMALL, TOGETHER = 64, 1 << 16
 
 
+def same_step(distance: float, width: float) -> float:
+    """The probability that vectors so far apart share a projection's step of that width."""
+    if distance == 0:
+        return 1.0
+    x = width / distance
+    return math.erf(x / math.sqrt(2)) - math.sqrt(2 / math.pi) / x * (1 - math.exp(-x * x / 2))
+
+
+def hashes(n: int, cosine: float = COSINE, width: float = WIDTH, miss: float = MISS) -> tuple[int, int]:
+    """Tables and projections for n vectors of a label."""
+    near, unrelated = same_step(math.sqrt(2 - 2 * cosine), width), same_step(math.sqrt(2), width)
+    projections = max(1, math.ceil(math.log(max(n, 1)) / -math.log(unrelated)))
+    meet = near**projections
+    return (1 if meet >= 1 - miss else math.ceil(math.log(miss) / math.log1p(-meet))), projections
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
     vectors = vectors / np.abs(vectors).max(1, keepdims=True)  # else squares may overflow
     return vectors / np.sqrt((vectors * vectors).sum(1, keepdims=True))
@@ -131,12 +150,14 @@ def _join(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
     return pd.concat(out)
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, miss: float = MISS, width: float = WIDTH) -> DataFrame:
     """A row for each vector: id, n_links (other vectors linked to it), component_id (least id of its component), kept."""
     v, label = F.col(vector_col).cast("array<double>"), F.col(label_col).cast("long")
     rows = vectors.select(F.col(id_col).alias("id"), label.alias("label"), v.alias("vector"))
     finite = ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vector", lambda x: x != 0)
     rows = rows.withColumn("ok", F.coalesce(F.col("label").isNotNull() & F.col("vector").isNotNull() & finite, F.lit(False))).withColumn("h1", F.xxhash64("label", "vector")).withColumn("h2", F.xxhash64(F.lit(1), "vector", "label"))
+    n = rows.where("label is not null").groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    tables, projections = hashes(n, cosine, width, miss)
     classes = saved(_classes(rows, tables, projections, width), "vector-classes")
     keys = classes.select("node", F.posexplode("keys").alias("t", "key"))
     buckets = saved(keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "vector-buckets")  # so that a large bucket's rows can be split in the join

@@ -177,3 +177,12 @@ def test_recall_right_at_the_threshold(spark):
 
 def test_no_vectors(spark):
     assert embedding.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
+
+
+def test_hashes_follow_the_vectors():
+    for n in (0, 1, 100, 10**4, 10**6, 10**8):
+        tables, projections = embedding.hashes(n)
+        near, unrelated = embedding.same_step(0.2, embedding.WIDTH), embedding.same_step(2**0.5, embedding.WIDTH)
+        assert (1 - near**projections) ** tables <= embedding.MISS
+        assert n * unrelated**projections <= 1 + 1e-9
+    assert embedding.hashes(10, cosine=1.0) == (1, embedding.hashes(10)[1])
