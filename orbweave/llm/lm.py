@@ -42,7 +42,7 @@ CLASS_FACTOR, CLASS_POWER, CONTEXT_FACTOR, CONTEXT_POWER = 20, 1 / 5, 8, 1 / 8
 #: Hashes of endings, of which the rare classes are remainders.
 ENDINGS = 1 << 15
 #: Size of the vectors, noise samples for each true one, rate of the training, its least steps and passes, cells of a batch.
-DIM, NOISE, RATE, SEED, STEPS, PASSES, CELLS = 24, 8, 0.05, 7, 160, 8, 1 << 21
+DIM, NOISE, RATE, SEED, STEPS, PASSES, CELLS = 24, 8, 0.05, 7, 160, 8, 1 << 20
 #: Tokens of a block, about.
 BLOCK = 1_500_000
 FOLDS, HELD_OUT, SMOOTH = 10, 0, 0.1
@@ -97,7 +97,7 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     """Tokenised documents in blocks: ids, held, lengths (without ends), tokens (places in words, packed), words, their
     training counts and endings' hashes."""
     id_type = docs.schema[id_col].dataType
-    fields = {"block": T.StringType(), "ids": T.ArrayType(id_type), "held": T.ArrayType(T.BooleanType()), "lengths": T.ArrayType(T.IntegerType()), "tokens": T.BinaryType(), "words": T.ArrayType(T.BinaryType()), "counts": T.ArrayType(T.LongType()), "endings": T.ArrayType(T.ShortType())}
+    fields = {"block": T.LongType(), "ids": T.ArrayType(id_type), "held": T.ArrayType(T.BooleanType()), "lengths": T.ArrayType(T.IntegerType()), "tokens": T.BinaryType(), "words": T.ArrayType(T.BinaryType()), "counts": T.ArrayType(T.LongType()), "endings": T.ArrayType(T.ShortType())}
     schema = T.StructType([T.StructField(n, t) for n, t in fields.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +108,7 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
             training = np.repeat(~np.array(held, bool), lengths)
             counts = np.bincount(tokens[training], minlength=len(vocabulary))
             words = list(vocabulary)
-            columns = [pa.array([uuid.uuid4().hex]), pa.ListArray.from_arrays([0, len(held)], pa.concat_arrays(ids)), pa.array([held], pa.list_(pa.bool_())), pa.array([lengths], pa.list_(pa.int32())), pa.array([pack.compress(tokens.tobytes())], pa.binary())]
+            columns = [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.ListArray.from_arrays([0, len(held)], pa.concat_arrays(ids)), pa.array([held], pa.list_(pa.bool_())), pa.array([lengths], pa.list_(pa.int32())), pa.array([pack.compress(tokens.tobytes())], pa.binary())]
             columns += [pa.array([words], pa.list_(pa.binary())), pa.array([counts], pa.list_(pa.int64())), pa.array([np.fromiter(map(_ending, words), np.int16, len(words))], pa.list_(pa.int16()))]
             return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
@@ -127,8 +127,10 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
                 n += len(words)
                 if n >= size:
                     now[0].append(b.column(0).slice(start, i + 1 - start))
-                    yield made(*now)
+                    done = made(*now)
                     now, n, start = empty(), 0, i + 1
+                    yield done
+                    pa.default_memory_pool().release_unused()
             if start < len(b):
                 now[0].append(b.column(0).slice(start))
         if now[1]:
@@ -171,7 +173,7 @@ class Unigrams:
         if own:
             at, to = np.array(own).T
             found[at] = to
-        return found
+        return found.astype(np.int32)
 
 
 def _with_ends(values: np.ndarray, lengths: np.ndarray, end: float | int) -> np.ndarray:
@@ -223,7 +225,9 @@ def triples(parts: DataFrame, unigrams: Unigrams, n_blocks: int) -> DataFrame:
             classes = _with_ends(unigrams.classes(row["words"], row["endings"])[tokens], lengths, 0)
             training = np.repeat(~row["held"].astype(bool), lengths + 1)
             far, near = size.contexts_of(classes)
-            new, n = np.unique((((far * size.contexts) + near) * size.classes + classes)[training], return_counts=True)
+            code = (far[training].astype(np.int64) * size.contexts + near[training]) * size.classes + classes[training]
+            del tokens, classes, training, far, near
+            new, n = np.unique(code, return_counts=True)
             codes, counts = _summed(np.concatenate((codes, new)), np.concatenate((counts, n)))
         at = np.unique(codes // PIECE)
         ends = np.searchsorted(codes, np.append(at, at[-1:] + 1) * PIECE)
@@ -335,11 +339,12 @@ class Model:
         self.far, self.near, self.norm = ((x / np.log(10)).astype(np.float32) for x in model.parts())
 
     def score(self, row: dict) -> list[np.ndarray]:
-        """n_tokens, n_known, base_score, score of a block's texts. row has training counts (c) and classes of its words."""
+        """n_tokens, n_known, base_score, score of a block's texts. row has training counts (c) and own classes (or 0) of its words."""
         u, size = self.u, self.u.sizes
         tokens, lengths = _tokens(row)
         c, rare = row.get("c", np.zeros(0)).astype(float), row["endings"].astype(np.int64) % size.rare
-        classes = row.get("classes", np.zeros(0)).astype(np.int64)
+        own = row.get("own", np.zeros(0)).astype(np.int32)
+        classes = np.where(own > 0, own, (rare + 1 + size.own).astype(np.int32))
         share = np.where(classes <= size.own, 0.0, np.log10((c + SMOOTH) / (u.tokens + SMOOTH * (u.types + 1))[rare]))
         below = np.log10(u.n + SMOOTH * (u.v + 1))
         of_text = np.repeat(np.arange(len(lengths)), lengths)
@@ -364,11 +369,10 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     parts = saved(blocks(docs, id_col, text_col), "lm-blocks", "zstd")
     counts = saved(word_counts(parts), "lm-words", "zstd")
     model = fitted(parts, counts)
-    unigrams, sizes = model.u, model.u.sizes
-    known = parts.select("block", F.posexplode(F.arrays_zip("words", "endings")).alias("place", "x")).select("block", "place", F.col("x.words").alias("word"), F.col("x.endings").alias("ending"))
-    known = known.join(counts.select("word", "c"), "word", "left").join(F.broadcast(unigrams.own_classes(counts)), "word", "left")
-    known = known.select("block", "place", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("own", (F.pmod("ending", F.lit(sizes.rare)) + 1 + sizes.own).cast("short")).alias("class"))
-    known = known.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "c", "class"))).alias("k")).select("block", F.col("k.c").alias("c"), F.col("k.class").alias("classes"))  # a block's words: bounded
+    known = parts.select("block", F.posexplode("words").alias("place", "word"))
+    known = known.join(counts.select("word", "c"), "word", "left").join(F.broadcast(model.u.own_classes(counts)), "word", "left")
+    known = known.select("block", "place", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("own", F.lit(0).cast("short")).alias("own"))
+    known = known.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "c", "own"))).alias("k")).select("block", F.col("k.c").alias("c"), F.col("k.own").alias("own"))  # a block's words: bounded
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), *(T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -90,9 +90,9 @@ def test_scores_sum_to_one_over_words(spark):
     import zstandard
 
     row = {"tokens": zstandard.ZstdCompressor().compress(np.arange(len(chosen), dtype=np.int32).tobytes()), "lengths": np.ones(len(chosen), np.int64), "endings": np.array([lm._ending(w) for w in chosen]), "c": np.array([known.get(w, 0) for w in chosen])}
-    row["classes"] = u.classes(chosen, row["endings"])
+    row["own"] = np.array([u.top.get(w, 0) for w in chosen])
     _, _, _, score = model.score(row)
-    seen = np.array([x for c in row["classes"] for x in (c, 0)])
+    seen = np.array([x for c in u.classes(chosen, row["endings"]) for x in (c, 0)])
     far, near = size.contexts_of(seen)
     ends = (model.far[far, seen] + model.near[near, seen] - model.norm[far, near])[1::2]
     end_first = 10.0 ** float(model.far[0, 0] + model.near[0, 0] - model.norm[0, 0])
