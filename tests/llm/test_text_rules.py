@@ -270,7 +270,7 @@ def test_redacted(spark):
 
 
 def secrets_in(text):
-    return bool(text) and any(re.search(r.pattern.replace("(?i:", "(?:"), text, re.I if r.kind == "assign" else 0) for r in secrets.RULES)
+    return bool(text) and any(re.search(r.pattern.replace("(?i:", "(?:").replace(r"\z", r"\Z"), text, re.I if r.kind == "assign" else 0) for r in secrets.RULES)
 
 
 # Quality rules.
