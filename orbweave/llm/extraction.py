@@ -298,7 +298,9 @@ def templates(pages: DataFrame) -> DataFrame:
     each = token_figures(pages).groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("hits").alias("hits"), wrapped.alias("s1"), F.sum(low).bitwiseAND(F.lit(0xFFFFFFFF)).alias("s2"), F.bit_or("bits").alias("bits"), F.sum("place").alias("place"))
     each = saved(each.where(F.col("pages") >= MIN_PAGES), "page-tokens")
     whole = each.where("token = 0").select("host", F.col("pages").alias("all_pages"), F.bit_count("bits").alias("all_bits")).where(F.col("all_bits") >= MIN_PAGES)
-    frequent = each.where("token <> 0").join(whole, "host").where((F.col("pages") >= SUPPORT * F.col("all_pages")) & (F.bit_count("bits") >= SUPPORT * F.col("all_bits")))
+    whole = saved(whole, "page-hosts")  # a row for each host, so that a hot one's tokens needn't meet in one task
+    size = whole.select(F.sum(F.octet_length("host") + 16)).first()[0] or 0
+    frequent = each.where("token <> 0").join(F.broadcast(whole) if size <= BROADCAST else whole, "host").where((F.col("pages") >= SUPPORT * F.col("all_pages")) & (F.bit_count("bits") >= SUPPORT * F.col("all_bits")))
     classes = frequent.withColumn("size", F.count("*").over(Window.partitionBy("host", "s1", "s2", "pages", "hits"))).where(F.col("size") >= CLASS)
     order = F.sort_array(F.collect_list(F.struct((F.col("place") / F.col("pages")).alias("at"), "token")))
     return classes.groupBy("host").agg(order.getField("token").alias("template"))  # at most a page's tokens / SUPPORT
