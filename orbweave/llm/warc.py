@@ -12,7 +12,8 @@ each chunk with the digest and the length of the payload up to there. The last c
 Duplicates: of records with equal payloads of at least MIN_REVISIT bytes that with the smallest id is stored, others refer
 to it. Only digests and ids are grouped. The first ids of digests that repeat are saved and measured: up to BROADCAST bytes payloads stay where
 they are; beyond that they move once, to their digest's first id, and as that table has one row for each digest, Spark's skew
-join handling can split a hot digest. Long payloads are cut in two steps, first into SPAN chunks, so no chunk is searched from the payload's start.
+join handling can split a hot digest. Long payloads are cut in two steps, first into spans of about the square root of their
+chunks, so that no chunk is searched from the payload's start.
 
 Defined cases. Null payload: empty, a response. Null id: written as such; it is smallest only if all ids are null.
 Rows that repeat the smallest id are all responses. Null urls are left out, those with spaces or control characters percent-encoded. Other columns are
@@ -35,8 +36,8 @@ from .shared import new_path, saved, table
 
 #: Characters of a payload in a row, and the least bytes for which a revisit is written.
 CHUNK, MIN_REVISIT = 1 << 18, 100
-#: Chunks that are cut from a long payload at once, and bytes of the repeated digests up to which they are broadcast.
-SPAN, BROADCAST = 64, 16 << 20
+#: Bytes of the repeated digests up to which they are broadcast.
+BROADCAST = 16 << 20
 END = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8" + END
 DATE = "1970-01-01T00:00:00Z"
@@ -60,10 +61,11 @@ def chunk_rows(rows: DataFrame) -> DataFrame:
     """The chunked record table of what described() gives: id, chunk (from 0), text: a WARC record without its end."""
     stored = F.col("first").isNull()
     n = F.when(stored, F.greatest(F.ceil(F.char_length("payload") / CHUNK), F.lit(1))).otherwise(1).cast("int")
-    rows = rows.withColumn("chunks", n).withColumn("_span", F.explode(F.sequence(F.lit(0), F.floor((F.col("chunks") - 1) / SPAN).cast("int"))))
-    rows = rows.withColumn("payload", F.when(F.col("chunks") > SPAN, F.substr("payload", F.col("_span") * (SPAN * CHUNK) + 1, F.lit(SPAN * CHUNK))).otherwise(F.col("payload")))
-    rows = rows.withColumn("_at", F.explode(F.sequence(F.lit(0), F.least(F.col("chunks") - F.col("_span") * SPAN, F.lit(SPAN)) - 1)))
-    rows = rows.withColumn("chunk", F.col("_span") * SPAN + F.col("_at"))
+    rows = rows.withColumn("chunks", n).withColumn("_each", F.ceil(F.sqrt("chunks")).cast("int"))
+    rows = rows.withColumn("_span", F.explode(F.sequence(F.lit(0), F.floor((F.col("chunks") - 1) / F.col("_each")).cast("int"))))
+    rows = rows.withColumn("payload", F.when(F.col("chunks") > 1, F.substr("payload", F.col("_span") * F.col("_each") * CHUNK + 1, F.col("_each") * CHUNK)).otherwise(F.col("payload")))
+    rows = rows.withColumn("_at", F.explode(F.sequence(F.lit(0), F.least(F.col("chunks") - F.col("_span") * F.col("_each"), F.col("_each")) - 1)))
+    rows = rows.withColumn("chunk", F.col("_span") * F.col("_each") + F.col("_at"))
     body = F.when(stored, F.when(F.col("chunks") > 1, F.substr("payload", F.col("_at") * CHUNK + 1, F.lit(CHUNK))).otherwise(F.col("payload"))).otherwise("")
     first = F.col("chunk") == 0
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
