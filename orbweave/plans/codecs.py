@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions.codecs import container, entropy, simple
 from ..operators import deltas, storage
-from ..sources import adapters
+from ..sources import adapters, workload
 from ..streaming import append
 from .relational import GRID, PRECISION, QUANTISED, Query
 
@@ -137,6 +137,91 @@ QUERIES |= {
     "stream_rollover": Query(stream_rollover, "select event_id // 100 as frame_set, min(event_id) as first_frame, count(*) as n_frames from events group by 1"),
 }
 
+A, NONE = container.AUTO, container.NO_CODEC
+V_NONE = (NONE, 0, NONE, 0)
+_zeros = lambda test, pos, vel, size: workload.Case(test, 100, 100, 100, 0.0, 0, pos, vel, size)
+_boxes = lambda test, chunk, pos, vel, size, frames=1000: workload.Case(test, 1000, frames, chunk, 0.1, 10000, pos, vel, size)
+#: Published cases, their codecs and parameters by container ids, and their bytes. V_NONE: no velocities.
+CASES = (
+    _boxes(1, 1, (3, A, 1, 0), V_NONE, 2776230),
+    _boxes(2, 1, (5, 0, 1, 0), V_NONE, 2796171),
+    _boxes(3, 1, (7, A, 1, 0), V_NONE, 4356773),
+    _boxes(6, 100, (5, 0, 5, 0), V_NONE, 2736662),
+    _boxes(7, 100, (5, 0, 1, A), V_NONE, 2545049),
+    _boxes(8, 100, (3, A, 1, A), V_NONE, 2544876),
+    _boxes(9, 100, (5, 0, 2, A), V_NONE, 2418212),
+    _boxes(10, 100, (5, 0, 3, A), V_NONE, 2728492),
+    _boxes(11, 100, (5, 0, 7, A), V_NONE, 4293415),
+    _boxes(17, 1, (5, 0, 1, 0), (1, A, 0, 0), 7336171),
+    _boxes(18, 1, (5, 0, 1, 0), (3, A, 0, 0), 7089695),
+    _boxes(19, 1, (5, 0, 1, 0), (9, 0, 0, 0), 208809, 50),
+    _boxes(20, 100, (5, 0, 5, 0), (1, A, 1, A), 7237102),
+    _boxes(21, 100, (5, 0, 5, 0), (1, A, 2, A), 6214307),
+    _boxes(22, 100, (5, 0, 5, 0), (1, A, 3, A), 6988699),
+    _boxes(23, 100, (5, 0, 5, 0), (1, A, 6, A), 6494602),
+    _zeros(65, (3, A, 3, A), V_NONE, 6315),
+    _zeros(66, (5, 0, 5, 0), V_NONE, 4465),
+    _zeros(67, (7, A, 7, A), V_NONE, 6315),
+    _zeros(68, (9, 0, 9, 0), V_NONE, 321),
+    _zeros(69, (10, 0, 10, 0), V_NONE, 867),
+    _zeros(70, (3, A, 1, A), V_NONE, 7548),
+    _zeros(71, (3, A, 2, A), V_NONE, 6315),
+    _zeros(72, (3, A, 8, 0), V_NONE, 257),
+    _zeros(73, (3, A, 3, A), (1, A, 1, A), 13863),
+    _zeros(74, (3, A, 3, A), (3, A, 3, A), 12622),
+    _zeros(75, (3, A, 3, A), (9, 0, 9, 0), 6628),
+    _zeros(76, (3, A, 3, A), (1, A, 2, A), 12630),
+    _zeros(77, (3, A, 3, A), (1, A, 6, A), 13863),
+    _zeros(78, (3, A, 3, A), (1, A, 8, 0), 6572),
+)
+#: Cases whose bytes are met exactly; those of the instruction codecs come within the published tolerance.
+EXACT = (65, 67, 68, 70, 71, 72, 73, 74, 75, 76, 77, 78)
+POSITION_STEP, VELOCITY_STEP, CASE_SPEED = 0.01, 0.1, 5
+
+
+def case_sizes(spark, cases=CASES) -> DataFrame:
+    """test, bytes: made-up frames through the container, a row for each chunk until they are added up."""
+    known = {c.test: c for c in cases}
+    chunks = spark.createDataFrame([(c.test, c.frames, c.chunk) for c in cases], "test long, frames int, chunk int")
+    chunks = chunks.select("test", F.explode(F.sequence(F.lit(0), F.col("frames") - 1, F.col("chunk"))).alias("first"))
+
+    def run(batches):
+        for own in batches:
+            sizes = []
+            for test, first in zip(own["test"], own["first"], strict=True):
+                c = known[test]
+                n = min(c.chunk, c.frames - first)
+                x = workload.positions(first, n, c.atoms, c.box) * (POSITION_STEP * c.scale)
+                size = 8 + len(container.compress(x, c.atoms, POSITION_STEP, container.POSITIONS, CASE_SPEED, c.positions))
+                if c.velocities != V_NONE:
+                    v = workload.velocities(first, n, c.atoms) * (VELOCITY_STEP * c.scale)
+                    size += 4 + len(container.compress(v, c.atoms, VELOCITY_STEP, container.VELOCITIES, CASE_SPEED, c.velocities))
+                sizes.append(size)
+            yield own.assign(bytes=sizes)[["test", "bytes"]]
+
+    parts = chunks.repartition(4 * spark.sparkContext.defaultParallelism).mapInPandas(run, "test long, bytes long")
+    return parts.groupBy("test").agg((F.sum("bytes") + 4).alias("bytes"))
+
+
+def published_sizes(spark, d) -> DataFrame:
+    """Whether each case's bytes are within 5 % of the published ones."""
+    published = F.create_map(*(F.lit(x) for c in CASES for x in (c.test, c.published)))[F.col("test").cast("int")]
+    return case_sizes(spark).select("test", F.col("bytes").between(published * 0.95, published * 1.05).alias("within"))
+
+
+def published_sizes_exact(spark, d) -> DataFrame:
+    return case_sizes(spark, tuple(c for c in CASES if c.test in EXACT))
+
+
+def _listed(columns: str, rows) -> str:
+    return f"select {columns} from (values {', '.join(f'({a}, {b})' for a, b in rows)}) t(a, b)"
+
+
+QUERIES |= {
+    "published_sizes": Query(published_sizes, _listed("cast(a as bigint) as test, b as within", ((c.test, "true") for c in CASES))),
+    "published_sizes_exact": Query(published_sizes_exact, _listed("cast(a as bigint) as test, cast(b as bigint) as bytes", ((c.test, c.published) for c in CASES if c.test in EXACT))),
+}
+
 
 def container_sizes(spark, d) -> DataFrame:
     """Bytes of each frame set by codec, and the least."""
