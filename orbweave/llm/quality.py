@@ -5,13 +5,16 @@ are equal (a shape is the word with runs of lower-case letters, capitals, digits
 a fixed number of buckets. Counts over all documents make the raw multinomial, those over trusted documents (labelled quality 1) the target.
 A document's score is the mean of log(target / raw) over its features, so that length plays no part.
 
-A bounded sample of labelled rows (SAMPLE, by least hash of the id) is halved by another hash: the trusted documents are those
-of one half, and the threshold is where a histogram of the other half's scores best tells quality 1 from 0 (greatest sum of
-both rates of right decisions, the middle of such edges), so it isn't fitted on rows that the ratio was. Without labels of both
-kinds there all pass it. The corpus counts cover all documents. Documents also fail by the base rules: fewer than 50 words, or
-over half of the words in repeated three-word windows.
+All labelled rows are halved by a hash of the id: the trusted documents are those of one half, and the threshold is where a
+histogram of the other half's scores best tells quality 1 from 0 (greatest sum of both rates of right decisions, the middle of
+such edges), so it isn't fitted on rows that the ratio was. Without labels of both kinds there all pass it. The corpus counts
+cover all documents. Documents also fail by the base rules: fewer than 50 words, or over half of the words in repeated
+three-word windows.
 
-Defined cases. Null and empty texts: no words, so they fail. Null ids: in no sample. Ids labelled twice: the lower quality
+Labels are saved and broadcast up to BROADCAST bytes. Beyond that texts move once, in a join with the trusted ids, and all
+documents are scored for the threshold, so that only ids and scores meet the other half; nothing is left out either way.
+
+Defined cases. Null and empty texts: no words, so they fail. Null ids: not labelled. Ids labelled twice: the lower quality
 holds. Repeated rows: each is judged alike. Extra columns are kept by keep(), whatever their names. An empty table: no rows.
 Very long texts: all their features count.
 """
@@ -28,13 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import saved, table
 
 #: Buckets of words, of pairs of shapes, and of pairs and triples of words.
 WORDS, SHAPES, GRAMS = 1 << 15, 1 << 14, 1 << 15
 SIZE = WORDS + SHAPES + 2 * GRAMS
-#: Labelled rows that the target and the threshold are fitted on, at most.
-SAMPLE = 20_000
+#: Bytes of the labels (about: their ids, and ROW for each) up to which they are broadcast.
+BROADCAST, ROW = 16 << 20, 32
 #: Histogram of scores: from -LIMIT to LIMIT in steps of 1 / STEPS.
 LIMIT, STEPS = 8, 100
 CACHE, CACHE_BYTES = 400_000, 64
@@ -97,49 +100,56 @@ def duplicate_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-def labelled(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
-    """_id, _quality of at most sample labelled rows: those with the least hashes of their ids; _fits: which half is the target's."""
+def labelled(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality") -> DataFrame:
+    """_id, _quality of all labelled rows, one for each id; _fits: which half is the target's."""
     one = labels.where(F.col(id_col).isNotNull() & F.col(quality_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(quality_col).cast("int").alias("_quality"))
-    return one.orderBy(F.xxhash64("_id"), "_id").limit(sample).withColumn("_fits", F.xxhash64(F.lit(1), "_id").bitwiseAND(F.lit(1)) == 0)
+    return one.withColumn("_fits", F.xxhash64(F.lit(1), "_id").bitwiseAND(F.lit(1)) == 0)
+
 
+def _counts(rows: DataFrame) -> np.ndarray:
+    """Features by bucket, of all rows and of those with _quality 1; rows: _text, _quality."""
+    size = SIZE
 
-def _with_quality(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """text, quality and half (null if not in the sample). The sample is bounded, so it's broadcast."""
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(sample), "_id", "left").select("_text", "_quality", "_fits")
+    def add(raw: np.ndarray, target: np.ndarray, held: list, trusted: list) -> None:
+        own = np.bincount(np.concatenate([EMPTY, *trusted]), minlength=size)
+        target += own
+        raw += own + np.bincount(np.concatenate([EMPTY, *held]), minlength=size)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for b in batches:
+            held, trusted, n = [], [], 0
+            for text, quality in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                found = features(codes(text.as_py()))
+                (trusted if quality == 1 else held).append(found)
+                n += len(found)
+                if n >= TOGETHER:
+                    add(raw, target, held, trusted)
+                    held, trusted, n = [], [], 0
+            add(raw, target, held, trusted)
+        at = np.flatnonzero(raw)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
+
+    counts = np.zeros((2, size))  # at most one row for each bucket, however large the corpus
+    for r in rows.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect():
+        counts[:, r[0]] = r[1], r[2]
+    return counts
 
 
 class Model:
     """log(target / raw) by bucket, and the threshold."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE):
-        chosen = labelled(labels, sample=sample)
+    def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
         size = SIZE
-
-        def add(raw: np.ndarray, target: np.ndarray, held: list, trusted: list) -> None:
-            own = np.bincount(np.concatenate([EMPTY, *trusted]), minlength=size)
-            target += own
-            raw += own + np.bincount(np.concatenate([EMPTY, *held]), minlength=size)
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
-            for b in batches:
-                held, trusted, n = [], [], 0
-                for text, quality in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                    found = features(codes(text.as_py()))
-                    (trusted if quality == 1 else held).append(found)
-                    n += len(found)
-                    if n >= TOGETHER:
-                        add(raw, target, held, trusted)
-                        held, trusted, n = [], [], 0
-                add(raw, target, held, trusted)
-            at = np.flatnonzero(raw)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
-
-        fitted = F.when(F.col("_fits"), F.col("_quality")).alias("_quality")
-        rows = _with_quality(docs, chosen, id_col, text_col).select("_text", fitted).mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
-        counts = np.zeros((2, size))  # at most one row for each bucket, however large the corpus
-        for r in rows:
-            counts[:, r[0]] = r[1], r[2]
+        chosen = saved(labelled(labels), "quality-labels")
+        texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+        trusted, rest = chosen.where("_fits and _quality = 1").select("_id"), chosen.where("not _fits").select("_id", (F.col("_quality") == 1).alias("quality"))
+        if (chosen.select(F.sum(F.octet_length(F.col("_id").cast("string")) + ROW)).first()[0] or 0) <= BROADCAST:
+            told = texts.join(F.broadcast(trusted.withColumn("_quality", F.lit(1))), "_id", "left")
+            counts, tested = _counts(told.select("_text", "_quality")), texts.join(F.broadcast(rest.select("_id")), "_id")
+        else:
+            counts, tested = _counts(texts.select("_text", F.lit(None).cast("int").alias("_quality"))), texts
+            counts[1] = _counts(texts.join(trusted, "_id").select("_text", F.lit(1).alias("_quality")))[1]
         # One pseudo-count of the raw distribution for each bucket: rare features tell little.
         p_raw = (counts[0] + 1) / (counts[0].sum() + size)
         p_target = (counts[1] + size * p_raw) / (counts[1].sum() + size)
@@ -149,13 +159,14 @@ class Model:
 
         def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                at = [int(np.clip(np.floor(score(codes(t.as_py()), ratio) * STEPS), -LIMIT * STEPS, LIMIT * STEPS)) for t in b.column(0)]
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), b.column(1)], names=["bin", "quality"])
+                at = [int(np.clip(np.floor(score(codes(t.as_py()), ratio) * STEPS), -LIMIT * STEPS, LIMIT * STEPS)) for t in b.column(1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.int64())], names=["_id", "bin"])
 
-        rows = _with_quality(docs, chosen, id_col, text_col).where("_quality is not null and not _fits").select("_text", "_quality").mapInArrow(bins, "bin long, quality int").groupBy("bin", "quality").count().collect()
+        scored = tested.mapInArrow(bins, f"_id {texts.schema['_id'].dataType.simpleString()}, bin long")
+        rows = scored.join(rest, "_id").groupBy("bin", "quality").count().collect()
         hist = np.zeros((2, 2 * LIMIT * STEPS + 1))
         for r in rows:
-            hist[int(r["quality"] == 1), r["bin"] + LIMIT * STEPS] += r["count"]
+            hist[int(r["quality"]), r["bin"] + LIMIT * STEPS] += r["count"]
         if hist.sum(1).all():
             below = np.concatenate(([[0.0], [0.0]], hist.cumsum(1)), axis=1)[:, :-1] / hist.sum(1, keepdims=True)
             gain = np.round(below[0] - below[1], 12)

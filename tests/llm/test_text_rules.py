@@ -365,6 +365,38 @@ def test_verdicts_equal_brute_force(spark):
     assert {r["kept"] for r in got} == {True, False}
 
 
+@pytest.mark.parametrize("most", [quality.BROADCAST, 0])
+def test_all_labels_are_used(spark, monkeypatch, most):
+    """Of 40,000 labels only those on the last ids by hash have documents; broadcast or not, both target and threshold come from them."""
+    monkeypatch.setattr(quality, "BROADCAST", most)
+    labels = spark.range(40_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    assert quality.labelled(labels.union(labels)).count() == 40_000
+    ids = [r[0] for r in labels.orderBy(F.xxhash64("doc_id").desc()).limit(120).collect()]
+    rng = np.random.default_rng(9)
+    good, bad = [f"good{i}" for i in range(300)], [f"BAD{i}!" for i in range(300)]
+    rows = [(i, " ".join(rng.choice((bad, good)[i % 2], 70)), "en", "s", 0) for i in ids]
+    rows += [*rows[:5], (None, rows[0][1], "en", "s", 0), (40_001, " ".join(rng.choice(good, 70)), "en", "s", 0), (40_002, " ".join(rng.choice(bad, 70)), "en", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    fits = {r["_id"]: r["_fits"] for r in quality.labelled(labels).where(F.col("_id").isin(ids)).collect()}
+    raw, target = Counter(), Counter()
+    for i, t, *_ in rows:
+        raw.update(found := brute_features(t))
+        if i is not None and i % 2 and fits.get(i):
+            target.update(found)
+    model = quality.Model(docs, labels)
+    size, n, m = quality.SIZE, sum(raw.values()), sum(target.values())
+    p = lambda f: (raw[f] + 1) / (n + size)
+    scores = {t: np.mean([math.log((target[f] + size * p(f)) / (m + size) / p(f)) for f in brute_features(t)]) for _, t, *_ in rows}
+    ones, zeros = ([scores[t] for i, t, *_ in rows if i in fits and not fits[i] and i % 2 == k] for k in (1, 0))
+    assert max(zeros) < model.threshold <= min(ones)
+    got = quality.report(docs, labels).collect()
+    key = lambda x: (x[0] is None, *x)
+    assert sorted(((r["doc_id"], round(r["score"], 9)) for r in got), key=key) == sorted(((i, round(scores[t], 9)) for i, t, *_ in rows), key=key)
+    kept = Counter(i for i, t, *_ in rows if scores[t] >= model.threshold)
+    assert Counter(r["doc_id"] for r in got if r["kept"]) == Counter(r["doc_id"] for r in quality.keep(docs, labels).collect()) == kept
+    assert kept[40_001] and not kept[40_002]
+
+
 def test_held_out_accuracy(spark):
     """Fitted on half of the labels, the verdict agrees with the other half."""
     folder = "/root/testdata/sf0.1"
