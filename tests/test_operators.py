@@ -24,6 +24,21 @@ def test_repeated_bonds(spark):
     same_rows(topology.bonds_expanded(t["molecules"], t["bonds"]).select("src", "dst").collect(), [(0, 1), (2, 3)])
 
 
+def test_bonds_of_many_instances(spark):
+    """More than a task's share: spans of instances are dealt out, and are whole at their ends."""
+    b = topology.Builder()
+    none, many = b.add_molecule("none", 0), b.add_molecule("many", 9_000_001)
+    for m in (none, many):
+        for n in "abc":
+            b.add_atom(m, None, n, "T")
+        b.add_bond(m, 0, 1)
+    t = b.tables(spark)
+    got = topology.bonds_expanded(t["molecules"], t["bonds"]).groupBy(F.spark_partition_id()).agg(F.count("*"), F.sum("instance"), F.sum("src"), F.sum("dst"), F.sum(F.col("src") % 1009 * (F.col("instance") % 1013))).collect()
+    i = np.arange(9_000_001)
+    assert [sum(r[k] for r in got) for k in range(1, 6)] == [len(i), i.sum(), (3 * i).sum(), (3 * i + 1).sum(), (3 * i % 1009 * (i % 1013)).sum()]
+    assert max(r[1] for r in got) < 6_000_000
+
+
 def two_types(spark):
     b = topology.Builder()
     for i, res_id in enumerate((10, 20)):
