@@ -1,7 +1,8 @@
 """Frames that arrive one by one: a stream is cut into frame sets and appended.
 
-A frame's set follows from its number, so no state is kept and a gap in the numbers needs none. Micro-batches append to a table that is
-partitioned by frame set; a set that several batches fill is whole once the stream has passed it, or is closed by the last batch.
+A frame's set follows from its number, so no state is kept and a gap in the numbers needs none. Micro-batches append to a table, a folder for
+each; a task's file has its frames by set, so files are as many as tasks, not as sets, and a read of some sets leaves out files and row groups by
+their bounds. A set that several batches fill is whole once the stream has passed it, or is closed by the last batch.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ def append(frames: DataFrame, path: str, checkpoint: str, frames_per_set: int =
     """Starts a query that appends what has come so far, and ends. A batch that is run again replaces its own files only."""
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "frame_set").parquet(path)
+        ordered = batch.withColumn("batch", F.lit(number)).sortWithinPartitions("batch", "frame_set", "frame")
+        ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
     return with_sets(frames, frames_per_set).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -196,3 +196,14 @@ def test_appended_frames(spark, tmp_path):
     assert [tuple(r) for r in sizes] == [(0, 30), (1, 79), (2, 50)]
     late = append.with_sets(spark.range(0, 10).withColumnRenamed("id", "frame"), 5, first_open=5)
     assert late.count() == 5
+
+
+def test_appended_files_are_as_many_as_tasks(spark, tmp_path):
+    """Not as many as sets; a second batch goes on with the set that the first left open."""
+    for k, (first, end) in enumerate(((0, 30_050), (30_050, 40_000))):
+        spark.range(first, end, 1, 2).withColumnRenamed("id", "frame").write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("frame long").parquet(f"{tmp_path}/in")
+        append.append(stream, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+        assert len(list(tmp_path.glob(f"out/batch={k}/**/*.parquet"))) <= 8
+    sizes = spark.read.parquet(f"{tmp_path}/out").groupBy("frame_set").agg(F.min("frame"), F.count("*")).orderBy("frame_set").collect()
+    assert [tuple(r) for r in sizes] == [(i, i * 100, 100) for i in range(400)]
